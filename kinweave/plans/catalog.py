@@ -79,7 +79,7 @@ def experiment_ratios(runs: DataFrame) -> DataFrame:
 
 def sequence() -> F.Column:
     """Place of an experiment in its profile: by size, then by file."""
-    return F.col("size_idx") * 1_000_000_000 + F.col("source")
+    return F.col("size_idx").cast("long") * 1_000_000_000 + F.col("source")
 
 
 def trials(runs: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ VIEWS = {
                 AS DECIMAL(30, 9)), 1) AS DECIMAL(30, 1)) || '%' AS performance_advantage
         FROM ratios GROUP BY ALL""",
     "trials": """
-        SELECT profile, size, size_idx, source, size_idx * 1000000000 + source AS seq,
+        SELECT profile, size, size_idx, source, CAST(size_idx AS BIGINT) * 1000000000 + source AS seq,
             CASE WHEN failed THEN 'load_failed' ELSE 'completed' END AS status,
             CASE WHEN NOT failed THEN average_efficiency END AS average_efficiency,
             CASE WHEN NOT failed THEN overall_winner END AS overall_winner,
