@@ -12,6 +12,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hub vertices make hot join keys; AQE splits their partitions on both sides.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash instead of sort joins, but only where AQE has measured every partition.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -48,6 +50,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows over all shuffle partitions by key, ahead of a step that multiplies them.
+
+    AQE sizes partitions by the rows that go into a stage. A small table that is about
+    to grow a hundredfold would end up in a few tasks; a fixed count is left alone.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, spark.sparkContext.defaultParallelism), *keys)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

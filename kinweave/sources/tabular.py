@@ -43,15 +43,23 @@ def write_parquet(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
 
 
 def write_tables(
-    users: DataFrame, edges: DataFrame, folder: str, rows_per_file: int = 1_000_000
+    users: DataFrame,
+    edges: DataFrame,
+    folder: str,
+    rows_per_file: int = 1_000_000,
+    parts: int | None = None,
 ) -> None:
-    """Users and friendships as CSV, users also as Parquet, friendships as sorted Parquet.
+    """Users and friendships as CSV, and both as Parquet for the queries.
 
     Edges sorted by ``user_id`` inside range partitions let the scan of a point query
-    skip row groups by their minimum and maximum.
+    skip row groups by their minimum and maximum. There are at least as many files as
+    cores (or ``parts``), so that small tables are read in parallel as well.
     """
+    parts = parts or edges.sparkSession.sparkContext.defaultParallelism
     write_csv(users, f"{folder}/users.csv", rows_per_file)
     write_csv(edges, f"{folder}/friendships.csv", rows_per_file)
-    write_parquet(users, f"{folder}/users.parquet")
-    ordered = edges.repartitionByRange("user_id").sortWithinPartitions("user_id", "friend_id")
-    write_parquet(ordered, f"{folder}/friendships.parquet")
+    write_parquet(users.repartition(parts), f"{folder}/users.parquet")
+    ordered = edges.repartitionByRange(parts, "user_id")
+    write_parquet(
+        ordered.sortWithinPartitions("user_id", "friend_id"), f"{folder}/friendships.parquet"
+    )
