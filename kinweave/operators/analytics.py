@@ -25,26 +25,24 @@ def _check(direction: str) -> bool:
 def cohort_analysis(graph: Graph, direction: str = "out") -> DataFrame:
     """Users and friendships by registration year and month, in the registration year.
 
-    Id and year form one compound join key, so the edges of a hub spread over its
-    years, and edges of other years never reach the join's output.
+    Friendships are first counted per user, year and month on the map side, so a hub
+    enters the join as a few rows and the distinct users are plain row counts.
     """
     if _check(direction):
         ends = adjacency(graph.edges).select(F.col("src").alias("user_id"), "since")
     else:
         ends = graph.edges.select("user_id", "since")
-    ends = ends.select(
-        "user_id", F.year("since").alias("cohort_year"), F.month("since").alias("friendship_month")
-    )
+    per_user = ends.groupBy(
+        "user_id",
+        F.year("since").alias("cohort_year"),
+        F.month("since").alias("friendship_month"),
+    ).agg(F.count(F.lit(1)).alias("n"))
     registered = graph.users.select(
         "user_id", F.year("registration_date").alias("cohort_year")
     )
-    per_user = (
-        ends.join(registered, ["user_id", "cohort_year"])
-        .groupBy("cohort_year", "friendship_month", "user_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     return (
-        per_user.groupBy("cohort_year", "friendship_month")
+        per_user.join(registered, ["user_id", "cohort_year"])
+        .groupBy("cohort_year", "friendship_month")
         .agg(
             F.count(F.lit(1)).alias("users_count"),
             F.sum("n").alias("friendships_count"),
