@@ -35,14 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     A folder of our own is set only where neither ``spark.checkpoint.dir`` nor an
     earlier ``setCheckpointDir`` call named one, which is the case in local tests.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-ckpt-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kinweave-ckpt-"))
+    return (configured or context.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
