@@ -111,12 +111,17 @@ def pchip_curve(size_points: DataFrame, dense: int = DENSE) -> DataFrame:
     )
 
 
-def crossings(curve: DataFrame) -> DataFrame:
-    """(query, x): every size where the order of the two curves changes, or they touch."""
+def _with_roots(curve: DataFrame) -> DataFrame:
+    """Add the difference ``d`` of the curves and the sizes ``roots`` where it changes sign.
+
+    A root lies between a grid point and the next one, by a straight line, or on the
+    point itself where the curves touch.
+    """
     by_i = Window.partitionBy("query").orderBy("i")
     diff = F.col("a") - F.col("b")
     steps = curve.select(
         "query",
+        "i",
         "x",
         diff.alias("d"),
         F.lead("x").over(by_i).alias("x1"),
@@ -127,40 +132,41 @@ def crossings(curve: DataFrame) -> DataFrame:
         F.col("d1") - F.col("d"), F.lit(0.0)
     )
     middle = (F.col("x") + F.col("x1")) / 2
-    found = steps.select(
-        "query",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(turns, F.coalesce(root, middle)),
-                    F.when(F.abs("d") <= TOUCH, F.col("x")),
-                )
-            )
-        ).alias("x"),
+    candidates = F.array(
+        F.when(turns, F.coalesce(root, middle)), F.when(F.abs("d") <= TOUCH, F.col("x"))
     )
-    return found.distinct()
+    return steps.select("query", "i", "d", F.array_compact(candidates).alias("roots"))
 
 
-def _leader(d: Column, a: str, b: str) -> Column:
-    return F.when(d < 0, a).when(d > 0, b).otherwise("equal")
+def crossings(curve: DataFrame) -> DataFrame:
+    """(query, x): every size where the order of the two curves changes, or they touch."""
+    return _with_roots(curve).select("query", F.explode("roots").alias("x")).distinct()
 
 
 def crossovers(curve: DataFrame, a: str, b: str) -> DataFrame:
-    """Per query: number of crossings, the first one (critical size), first and last leader."""
-    diff = F.col("a") - F.col("b")
-    leaders = curve.groupBy("query").agg(
-        _leader(F.min_by(diff, "i"), a, b).alias("initial"),
-        _leader(F.max_by(diff, "i"), a, b).alias("final"),
-    )
-    found = crossings(curve).groupBy("query").agg(
-        F.count(F.lit(1)).alias("n_crossings"), F.min("x").alias("critical")
+    """Per query: number of crossings, the first one (critical size), first and last leader.
+
+    One pass over the grid; the roots gathered per query are at most two per point.
+    """
+
+    def leader(d: Column) -> Column:
+        return F.when(d < 0, a).when(d > 0, b).otherwise("equal")
+
+    gathered = (
+        _with_roots(curve)
+        .groupBy("query")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"),
+            F.min_by("d", "i").alias("first"),
+            F.max_by("d", "i").alias("last"),
+        )
     )
-    return leaders.join(found, "query", "left").select(
+    return gathered.select(
         "query",
-        F.coalesce("n_crossings", F.lit(0)).alias("n_crossings"),
-        "critical",
-        "initial",
-        "final",
+        F.size("roots").cast("long").alias("n_crossings"),
+        F.array_min("roots").alias("critical"),
+        leader(F.col("first")).alias("initial"),
+        leader(F.col("last")).alias("final"),
     )
 
 
