@@ -55,11 +55,13 @@ def write_tables(
     skip row groups by their minimum and maximum. There are at least as many files as
     cores (or ``parts``), so that small tables are read in parallel as well.
     """
-    parts = parts or edges.sparkSession.sparkContext.defaultParallelism
-    write_csv(users, f"{folder}/users.csv", rows_per_file)
-    write_csv(edges, f"{folder}/friendships.csv", rows_per_file)
-    write_parquet(users.repartition(parts), f"{folder}/users.parquet")
+    spark = edges.sparkSession
+    parts = parts or spark.sparkContext.defaultParallelism
     ordered = edges.repartitionByRange(parts, "user_id")
-    write_parquet(
-        ordered.sortWithinPartitions("user_id", "friend_id"), f"{folder}/friendships.parquet"
-    )
+    for name, df in (
+        ("users", users.repartition(parts)),
+        ("friendships", ordered.sortWithinPartitions("user_id", "friend_id")),
+    ):
+        # The CSV is copied from the stored Parquet, so the input is computed once.
+        write_parquet(df, f"{folder}/{name}.parquet")
+        write_csv(spark.read.parquet(f"{folder}/{name}.parquet"), f"{folder}/{name}.csv", rows_per_file)
