@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinweave.llm import licences, pieces, pii, quality
+from kinweave.llm import licences, linededup, mixing, pieces, pii, quality
+from kinweave.llm.oracle import ORACLE  # noqa: F401
 from kinweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +18,16 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(documents(spark, sf_dir))
 
 
+def _mixed(docs: DataFrame) -> DataFrame:
+    """Rates and keys are rounded only here, for comparison."""
+    return mixing.mix_sources(docs).withColumns({"mix_rate": F.round("mix_rate", 6), "mix_key": F.round("mix_key", 9)})
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": _on_documents(pii.find_pii),
+    "op4_line_dedup": _on_documents(linededup.dedup_lines),
     "op5_licences": _on_documents(licences.scan_licences),
+    "op7_mixing": _on_documents(_mixed),
     "op8_quality": _on_documents(quality.quality_rules),
     "op9_pieces": _on_documents(pieces.piece_counts),
 }
-
-ORACLE: dict[str, str] = {}
