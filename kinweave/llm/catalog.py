@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import licences, linededup, mixing, ngramjoin, pieces, pii, quality
+from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, pieces, pii, quality
 from kinweave.llm.oracle import ORACLE  # noqa: F401
 from kinweave.llm.common import documents
 
@@ -31,4 +31,5 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": _on_documents(_mixed),
     "op8_quality": _on_documents(quality.quality_rules),
     "op9_pieces": _on_documents(pieces.piece_counts),
+    "op10_fingerprints": _on_documents(minhash.edit_test),
 }
