@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, pieces, pii, quality
+from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, packing, pieces, pii, quality
 from kinweave.llm.oracle import ORACLE  # noqa: F401
 from kinweave.llm.common import documents
 
@@ -26,6 +26,7 @@ def _mixed(docs: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": _on_documents(pii.find_pii),
     "op2_ngram_join": _on_documents(ngramjoin.jaccard_join),
+    "op3_packing": _on_documents(packing.pack),
     "op4_line_dedup": _on_documents(linededup.dedup_lines),
     "op5_licences": _on_documents(licences.scan_licences),
     "op7_mixing": _on_documents(_mixed),
