@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, packing, pieces, pii, quality
+from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, packing, pieces, pii, quality, toxicity
 from kinweave.llm.oracle import ORACLE  # noqa: F401
 from kinweave.llm.common import documents
 
@@ -18,6 +18,10 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(documents(spark, sf_dir))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def _mixed(docs: DataFrame) -> DataFrame:
     """Rates and keys are rounded only here, for comparison."""
     return mixing.mix_sources(docs).withColumns({"mix_rate": F.round("mix_rate", 6), "mix_key": F.round("mix_key", 9)})
@@ -29,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": _on_documents(packing.pack),
     "op4_line_dedup": _on_documents(linededup.dedup_lines),
     "op5_licences": _on_documents(licences.scan_licences),
+    "op6_toxicity": _toxicity,
     "op7_mixing": _on_documents(_mixed),
     "op8_quality": _on_documents(quality.quality_rules),
     "op9_pieces": _on_documents(pieces.piece_counts),
