@@ -20,13 +20,18 @@ rows without an id count only through their text. Repeated rows are rows of thei
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructType
 
-from kinweave.llm.common import stored
-from kinweave.llm.similarity import Signatures, link_sets, set_table
-from kinweave.llm.words import mix
+from kinweave.llm.common import record_batch, ship_code, stored
+from kinweave.llm.similarity import Signatures, filter_bits, link_sets, may_hold, set_table, sets
+from kinweave.llm.words import mix, slices
 
 #: Of the query's contract; stages of a pipeline take five words and 80.
 SHINGLE_WORDS, PERCENT = 3, 90
@@ -107,3 +112,43 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     return rooted.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """`docs` with one document of each group: the smallest doc_id, then the least text.
+
+    Rows without an id stay only where their group has no row with one. Rows that are in
+    no group, or have no shingles, stay as they are and aren't shuffled: a filter of
+    fixed size tells most of them apart, and the rest of the rows meet their group's
+    keeper. All columns stay; `jj_key` and `jj_maybe` must not be among them.
+    """
+    table, found = groups(docs, size, percent)
+    rooted = table.filter("key is not null").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    kept = rooted.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    grouped = rooted.select("key", "root").distinct().join(kept, "root").select("key", "root", "kept")
+    grouped = stored(grouped, "groups")
+    filled = docs.sparkSession.sparkContext.broadcast(filter_bits(F.col("key"), grouped))
+    keyed = _with_keys(docs, size, filled)
+    alone = keyed.filter("not jj_maybe").select(*docs.columns)
+    met = keyed.filter("jj_maybe").select(F.struct(*docs.columns).alias("row"), F.col("jj_key").alias("key"))
+    met = met.join(grouped, "key", "left")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
+    free = met.filter("root is null").select("row.*")
+    first = met.filter("root is not null").filter(same).groupBy("root").agg(F.min_by("row", F.struct(F.col("row.text"))).alias("row"))
+    return alone.unionByName(free).unionByName(first.select("row.*"))
+
+
+def _with_keys(docs: DataFrame, size: int, filled) -> DataFrame:
+    ship_code(docs.sparkSession)
+    schema = StructType(docs.schema.fields[:]).add("jj_key", LongType()).add("jj_maybe", BooleanType())
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, part in slices(batch):
+                _, _, count, key = sets(part, size)
+                columns = {name: rows.column(i) for i, name in enumerate(kind.names[:-2])}
+                yield record_batch({**columns, "jj_key": key, "jj_maybe": (count > 0) & may_hold(filled.value, key)}, kind)
+
+    return docs.mapInArrow(run, schema)
