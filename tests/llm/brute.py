@@ -108,3 +108,33 @@ def linked(texts, size, percent):
         for b in range(a)
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
+
+
+def removed_lines(docs, min_words):
+    """docs: (id, text) with different ids. Numbers of removed lines by id, from all pairs of runs."""
+    place = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+    lines = []
+    for doc_id, text in place:
+        kept = [(n, line) for n, line in enumerate((text or "").split("\n")) if SPACE_WORD.search(line)] if text is not None else []
+        lines.append((doc_id, kept))
+    seen, gone = {}, {doc_id: set() for doc_id, _ in docs}
+    for order, (doc_id, kept) in enumerate(lines):
+        for start in range(len(kept)):
+            for end in range(start + 1, len(kept) + 1):
+                run = tuple(line for _, line in kept[start:end])
+                if sum(len(SPACE_WORD.findall(line)) for line in run) < min_words:
+                    continue
+                if seen.setdefault(run, (order, start)) != (order, start):
+                    gone[doc_id].update(n for n, _ in kept[start:end])
+    return gone
+
+
+def poisson(u, rate):
+    import math
+
+    k, total, log_p = 0, math.exp(-rate), -rate
+    while total <= u:
+        k += 1
+        log_p += math.log(rate) - math.log(k)
+        total += math.exp(log_p)
+    return k
