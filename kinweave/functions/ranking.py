@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,38 +30,50 @@ def positions(
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
         cut.withColumn("_row", F.row_number().over(inside))
-        .join(shifts, [*keys, "_range"])
+        .alias("cut")
+        .join(shifts.alias("shifts"), _same(["_range", *keys]))
+        .select("cut.*", "shifts._shift")
         .withColumn(alias, F.col("_row") + F.col("_shift"))
         .drop("_range", "_row", "_shift")
     )
 
 
-def nth_row(df: DataFrame, key: str, n: int, direct_rows: int = 1_000_000) -> DataFrame:
+def _same(columns: Sequence[str]) -> Column:
+    """Equal in all columns; nulls are equal to each other."""
+    return reduce(Column.__and__, [F.col(f"cut.{c}").eqNullSafe(F.col(f"shifts.{c}")) for c in columns])
+
+
+def nth_row(df: DataFrame, key: str, n: int, width: int = 10_000) -> DataFrame:
     """One row (n_rows, key): the row count and the n-th smallest key, counting from 0.
 
-    An offset keeps n rows per task and on the driver, so it is only used once the
-    rows that can still hold the answer are few. Until then quantile sketches bracket
-    the wanted rank (their rank error is far below the bracket's width), and exact
-    counts below, at and between the two bounds say where to go on.
+    Null keys count as rows but have no place; beyond the last key the answer is null.
+    Up to 99 quantiles cut the keys; exact counts at and between the cuts name the part
+    that holds the n-th key, and that part is cut again until it has at most ``width``
+    rows. A cut is a part of its own, so a very frequent key is found at once.
     """
-    total = df.count()
-    value = F.col(key)
-    rest, skip, left = df.select(key), n, total
-    while left > direct_rows and skip < left:
-        around = [max(0.0, skip / left - 0.002), min(1.0, skip / left + 0.002)]
-        low, high = rest.agg(F.percentile_approx(key, around, 10_000)).first()[0]
-        below, at_low, between = rest.agg(
-            F.count_if(value < low),
-            F.count_if(value == low),
-            F.count_if((value > low) & (value < high)),
-        ).first()
-        if skip < below + at_low or skip >= below + at_low + between:
-            rest, skip = rest.where(value == (low if skip < below + at_low else high)), 0
-            break
-        rest, skip, left = (
-            rest.where((value > low) & (value < high)),
-            skip - below - at_low,
-            between,
-        )
+    value, total = F.col(key), df.count()
+    rest = df.select(key).where(value.isNotNull())
+    skip, left = n, rest.count()
+    if not 0 <= n < left:
+        rest, left = rest.limit(0), 0
+    while left > width:
+        cuts = sorted(set(rest.agg(F.percentile_approx(key, [i / 100 for i in range(1, 100)], 1_000)).first()[0]))
+        edges = F.array(*[F.lit(cut) for cut in cuts])
+        part = 2 * F.size(F.filter(edges, lambda edge: edge < value)) + F.array_contains(edges, value).cast("int")
+        counts = sorted(rest.groupBy(part.alias("part")).count().collect())
+        for number, rows in counts:
+            if skip < rows:
+                break
+            skip -= rows
+        below, exact = divmod(number, 2)
+        if exact:
+            rest = rest.where(value == cuts[below]).limit(1)
+            skip, left = 0, 1
+            continue
+        left = rows
+        if below:
+            rest = rest.where(value > cuts[below - 1])
+        if below < len(cuts):
+            rest = rest.where(value < cuts[below])
     one = rest.orderBy(key).offset(skip).limit(1)
     return one.agg(F.max(key).alias(key)).select(F.lit(total).cast("long").alias("n_rows"), key)

@@ -23,12 +23,12 @@ def canonical_edges(raw: DataFrame) -> DataFrame:
 
 
 def is_canonical(edges: DataFrame) -> DataFrame:
-    """One row: do all edges have user_id < friend_id (true for an empty table)?"""
-    return edges.agg(
-        F.coalesce(F.bool_and(F.col("user_id") < F.col("friend_id")), F.lit(True)).alias(
-            "is_canonical"
-        )
-    )
+    """One row: do all edges have user_id < friend_id (true for an empty table)?
+
+    An edge with a missing end is not canonical.
+    """
+    ordered = F.coalesce(F.col("user_id") < F.col("friend_id"), F.lit(False))
+    return edges.agg(F.coalesce(F.bool_and(ordered), F.lit(True)).alias("is_canonical"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

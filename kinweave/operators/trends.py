@@ -148,16 +148,30 @@ def stop_rules(trends: DataFrame, size: str = "current_size") -> DataFrame:
 
 
 def run_budget(
-    base_runs: DataFrame, ratios: DataFrame, keys: Sequence[str] = ()
+    base_runs: DataFrame, ratios: DataFrame, previous_size: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Next number of runs per query, from its latest ratios.
+    """Next number of runs per query, from the results of the previous size.
 
     ``base_runs`` has (keys, query, base_runs). ``ratios`` is the output of
-    ``efficiency`` with a ``seq`` column; only the three newest rows per query are
-    used, and a window group limit keeps the rest from being shuffled. Without any
-    ratio in the experiment the base applies.
+    ``efficiency`` with ``size`` and ``seq``. A query's ratio, significance and change
+    are those of the newest experiment of ``previous_size``; a query that is missing
+    there has ratio 1, no clear difference and no change. Whether it rises and how much
+    it varies comes from its three newest ratios of any size. Without results of the
+    previous size the base applies.
     """
     by = [*keys, "query"]
+    sized = ratios.where(F.col("size") == previous_size)
+    newest_seq = Window.partitionBy(*keys).orderBy(F.desc("seq"))
+    last = (
+        sized.withColumn("_place", F.rank().over(newest_seq))
+        .where(F.col("_place") == 1)
+        .groupBy(*by)
+        .agg(
+            F.max("efficiency_coefficient").alias("eff"),
+            F.max("significance").alias("significance"),
+            F.max("improvement_percentage").alias("improvement"),
+        )
+    )
     newest = Window.partitionBy(*by).orderBy(F.desc("seq"))
     ratio = F.col("efficiency_coefficient")
     recent = ratios.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= 3)
@@ -166,25 +180,23 @@ def run_budget(
         return F.max(F.when(F.col("age") == age, F.col(column)))
 
     facts = recent.groupBy(*by).agg(
-        of(1, "efficiency_coefficient").alias("eff"),
-        of(2, "efficiency_coefficient").alias("previous"),
-        of(1, "significance").alias("significance"),
-        of(1, "improvement_percentage").alias("improvement"),
+        of(1, "efficiency_coefficient").alias("newest"),
+        of(2, "efficiency_coefficient").alias("before"),
         F.when(
             F.count(F.lit(1)) >= 2, F.try_divide(F.stddev_pop(ratio), F.avg(ratio))
         ).alias("volatility"),
     )
-    known = facts.select(*keys).distinct().withColumn("has_history", F.lit(True))
-    joined = base_runs.join(facts, by, "left")
+    joined = base_runs.join(facts, by, "left").join(last, by, "left")
     if keys:
+        known = sized.select(*keys).distinct().withColumn("has_history", F.lit(True))
         joined = joined.join(known, list(keys), "left")
     else:
-        joined = joined.withColumn("has_history", F.lit(not facts.isEmpty()))
+        joined = joined.withColumn("has_history", F.lit(not sized.isEmpty()))
     eff = F.coalesce("eff", F.lit(1.0))
     clear = F.coalesce("significance", F.lit(UNCLEAR)) == CLEAR
     change = F.abs(F.coalesce("improvement", F.lit(0.0)))
     vol = F.coalesce("volatility", F.lit(0.0))
-    rising = F.coalesce(F.col("eff") > F.col("previous"), F.lit(False))
+    rising = F.coalesce(F.col("newest") > F.col("before"), F.lit(False))
     base = F.col("base_runs")
 
     def at_least(n: int, runs: Column) -> Column:

@@ -23,6 +23,7 @@ from kinweave.sources.supplied import A, B
 Query = Callable[[SparkSession, str], DataFrame]
 
 PAIR_GAP, PATH_GAP = 2, 5
+PREVIOUS_SIZE = "small"
 EXPERIMENT = ["profile", "size", "size_idx", "source"]
 
 
@@ -52,6 +53,15 @@ def mutual_friends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.mutual_friends(graph, supplied.pairs(spark, sf_dir, PAIR_GAP))
 
 
+def mutual_friends_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = supplied.load_skewed_graph(spark, sf_dir)
+    return near.mutual_friends(graph, supplied.skewed_pairs(spark, sf_dir, PAIR_GAP))
+
+
+def on_skewed_graph(op: Callable[[Graph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(supplied.load_skewed_graph(spark, sf_dir))
+
+
 def top_for_one(graph: Graph) -> DataFrame:
     ranked = near.friend_recommendations(graph, busiest_user(graph))
     return ranked.orderBy("rank").select("cand", "common_friends")
@@ -83,15 +93,18 @@ def sequence() -> F.Column:
 
 
 def trials(runs: DataFrame) -> DataFrame:
-    """One row per experiment; every seventh one counts as failed and has no ratio."""
+    """One row per experiment; one that measured a single engine failed and has no ratio."""
     summary = measurements.efficiency_summary(experiment_ratios(runs), A, B, EXPERIMENT)
-    failed = (F.col("source") * 5 + F.col("size_idx")) % 7 == 3
     measured = ["average_efficiency", "overall_winner", "a_wins_count", "b_wins_count"]
-    return summary.select(
-        *EXPERIMENT,
-        sequence().alias("seq"),
-        F.when(failed, "load_failed").otherwise("completed").alias("status"),
-        *[F.when(~failed, F.col(c)).alias(c) for c in measured],
+    found = summary.select(*EXPERIMENT, *measured)
+    return (
+        runs.select(*EXPERIMENT)
+        .distinct()
+        .join(found, EXPERIMENT, "left")
+        .withColumn("seq", sequence())
+        .withColumn(
+            "status", F.when(F.col("average_efficiency").isNull(), "load_failed").otherwise("completed")
+        )
     )
 
 
@@ -139,7 +152,7 @@ def budget(runs: DataFrame) -> DataFrame:
         (F.floor(F.count(F.lit(1)) / 10) + 1).cast("int").alias("base_runs")
     )
     ratios = experiment_ratios(runs).withColumn("seq", sequence())
-    return trends.run_budget(base, ratios, ["profile"])
+    return trends.run_budget(base, ratios, PREVIOUS_SIZE, ["profile"])
 
 
 def classes(runs: DataFrame) -> DataFrame:
@@ -208,6 +221,11 @@ QUERIES: dict[str, Query] = {
     "friend_recommendations_batch": on_graph(
         lambda g: near.friend_recommendations(g, g.seeds)
     ),
+    "friends_of_friends_skewed": on_skewed_graph(lambda g: near.friends_of_friends(g, g.seeds)),
+    "mutual_friends_skewed": mutual_friends_skewed,
+    "friend_recommendations_skewed": on_skewed_graph(
+        lambda g: near.friend_recommendations(g, g.seeds)
+    ),
     "shortest_path": paths("both"),
     "shortest_path_directed": paths("out"),
     # network analytics
@@ -238,6 +256,9 @@ QUERIES: dict[str, Query] = {
     "nth_candidate": on_graph(
         lambda g: metrics.nth_candidate(edges.degrees(g.adj), "node", 100)
     ),
+    "nth_candidate_repeated": on_graph(
+        lambda g: metrics.nth_candidate(supplied.users_by_age(g.users), "age", 700)
+    ),
     # measurements
     "runs_from_json": round_trip_documents,
     "run_stats": on_runs(

@@ -93,6 +93,23 @@ VIEWS = {
         WHERE b.dst <> a.src AND NOT EXISTS (
             SELECT 1 FROM adj d WHERE d.src = a.src AND d.dst = b.dst)
         GROUP BY a.src, b.dst""",
+    "skewed_friendships": f"""
+        SELECT least(user_id, friend_id) AS user_id, greatest(user_id, friend_id) AS friend_id
+        FROM (SELECT user_id, friend_id FROM ({_edges_by_gap(1)})
+            UNION ALL SELECT o_custkey, l_suppkey % 2 + 1 FROM lineitem
+            JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 7 AND l_quantity < 10)
+        WHERE user_id <> friend_id GROUP BY 1, 2""",
+    "skewed_adj": """
+        SELECT user_id AS src, friend_id AS dst FROM skewed_friendships
+        UNION ALL SELECT friend_id, user_id FROM skewed_friendships""",
+    "skewed_pairs": f"""
+        {_pairs(2)} UNION SELECT h.id, c_custkey FROM customer, (VALUES (1), (2)) h(id)
+        WHERE h.id <> c_custkey""",
+    "skewed_common": """
+        SELECT a.src AS seed, b.dst AS cand, count(*) AS common_friends
+        FROM skewed_adj a JOIN skewed_adj b ON b.src = a.dst
+        LEFT JOIN skewed_adj d ON d.src = a.src AND d.dst = b.dst
+        WHERE b.dst <> a.src AND d.src IS NULL GROUP BY a.src, b.dst""",
     "busiest": """
         SELECT src AS seed FROM adj GROUP BY src ORDER BY count(*) DESC, src LIMIT 1""",
     "as_of": "SELECT max(since) AS today FROM friendships",
@@ -147,13 +164,11 @@ VIEWS = {
                 AS DECIMAL(30, 9)), 1) AS DECIMAL(30, 1)) || '%' AS performance_advantage
         FROM ratios GROUP BY ALL""",
     "trials": """
-        SELECT profile, size, size_idx, source, CAST(size_idx AS BIGINT) * 1000000000 + source AS seq,
-            CASE WHEN failed THEN 'load_failed' ELSE 'completed' END AS status,
-            CASE WHEN NOT failed THEN average_efficiency END AS average_efficiency,
-            CASE WHEN NOT failed THEN overall_winner END AS overall_winner,
-            CASE WHEN NOT failed THEN a_wins_count END AS a_wins_count,
-            CASE WHEN NOT failed THEN b_wins_count END AS b_wins_count
-        FROM (SELECT *, (source * 5 + size_idx) % 7 = 3 AS failed FROM summaries)""",
+        SELECT e.*, CAST(size_idx AS BIGINT) * 1000000000 + source AS seq,
+            CASE WHEN average_efficiency IS NULL THEN 'load_failed' ELSE 'completed' END AS status,
+            average_efficiency, overall_winner, a_wins_count, b_wins_count
+        FROM (SELECT DISTINCT profile, size, size_idx, source FROM runs) e
+        LEFT JOIN summaries USING (profile, size, size_idx, source)""",
     "histories": """
         SELECT *, row_number() OVER (PARTITION BY profile, current_size ORDER BY seq) - 1 AS place,
             count(*) OVER (PARTITION BY profile, current_size) AS n
@@ -337,6 +352,16 @@ BODIES = {
             SELECT *, row_number() OVER (PARTITION BY seed ORDER BY common_friends DESC, cand)
                 AS rank FROM common)
         WHERE rank <= 10""",
+    "friends_of_friends_skewed": "SELECT seed, cand AS fof FROM skewed_common",
+    "mutual_friends_skewed": """
+        SELECT user_a, user_b, x.dst AS mutual FROM skewed_pairs
+        JOIN skewed_adj x ON x.src = user_a
+        JOIN skewed_adj y ON y.src = user_b AND y.dst = x.dst""",
+    "friend_recommendations_skewed": """
+        SELECT seed, cand, common_friends, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY seed ORDER BY common_friends DESC, cand)
+                AS rank FROM skewed_common)
+        WHERE rank <= 10""",
     "shortest_path": f"""
         SELECT user_a, user_b, '[' || array_to_string(path, ',') || ']' AS path, depth
         FROM ({_paths("adj")})""",
@@ -407,6 +432,9 @@ BODIES = {
     "nth_candidate": """
         SELECT (SELECT count(DISTINCT src) FROM adj) AS n_rows,
             (SELECT DISTINCT src FROM adj ORDER BY src LIMIT 1 OFFSET 100) AS node""",
+    "nth_candidate_repeated": """
+        SELECT (SELECT count(*) FROM users) AS n_rows,
+            (SELECT age FROM users WHERE age IS NOT NULL ORDER BY age LIMIT 1 OFFSET 700) AS age""",
     "runs_from_json": f"""
         SELECT profile, size, users_n, engine, query,
             CAST(arg_max(results_count, run_no) OVER (
@@ -512,11 +540,11 @@ BODIES = {
                 FROM trend))""",
     "run_budget": """
         SELECT profile, query, b AS base_runs,
-            CAST(CASE WHEN eff < 0.3 AND clear THEN 1 WHEN eff < 0.6 THEN 2
+            CAST(CASE WHEN last_seq IS NULL THEN 0 WHEN eff < 0.3 AND clear THEN 1 WHEN eff < 0.6 THEN 2
                 WHEN eff > 2 AND clear THEN 3 WHEN eff > 1.3 THEN 4
                 WHEN change > 300 AND vol > 0.4 THEN 5 WHEN rising AND eff > 0.8 THEN 6
                 WHEN vol < 0.2 AND change < 100 THEN 7 ELSE 0 END AS INTEGER) AS rule,
-            CAST(CASE WHEN eff < 0.3 AND clear THEN greatest(2, b // 6)
+            CAST(CASE WHEN last_seq IS NULL THEN b WHEN eff < 0.3 AND clear THEN greatest(2, b // 6)
                 WHEN eff < 0.6 THEN greatest(3, b // 3)
                 WHEN eff > 2 AND clear THEN least(100, 2 * b)
                 WHEN eff > 1.3 THEN least(80, floor(b * 1.5))
@@ -524,22 +552,28 @@ BODIES = {
                 WHEN rising AND eff > 0.8 THEN least(70, floor(b * 1.4))
                 WHEN vol < 0.2 AND change < 100 THEN greatest(5, floor(b * 0.8))
                 ELSE b END AS INTEGER) AS new_runs
-        FROM (SELECT profile, query, CAST(count(*) // 10 + 1 AS INTEGER) AS b
-            FROM runs GROUP BY ALL)
-        LEFT JOIN (
-            SELECT profile, query, max(efficiency_coefficient) FILTER (age = 1) AS eff,
-                max(efficiency_coefficient) FILTER (age = 1)
-                    > max(efficiency_coefficient) FILTER (age = 2) AS rising,
-                max(significance) FILTER (age = 1) = '"""
+        FROM (SELECT base.profile, base.query, b, last_seq,
+                coalesce(now.efficiency_coefficient, 1.0) AS eff,
+                coalesce(now.significance = '"""
     + CLEAR
-    + """' AS clear,
-                abs(max(improvement_percentage) FILTER (age = 1)) AS change,
-                CASE WHEN count(*) >= 2
-                    THEN stddev_pop(efficiency_coefficient) / avg(efficiency_coefficient)
-                    ELSE 0 END AS vol
-            FROM (SELECT *, row_number() OVER (PARTITION BY profile, query
-                ORDER BY size_idx DESC, source DESC) AS age FROM ratios)
-            WHERE age <= 3 GROUP BY profile, query) USING (profile, query)""",
+    + """', false) AS clear, abs(coalesce(now.improvement_percentage, 0.0)) AS change,
+                coalesce(h.newest > h.before, false) AS rising, coalesce(h.vol, 0) AS vol
+            FROM (SELECT profile, query, CAST(count(*) // 10 + 1 AS INTEGER) AS b
+                FROM runs GROUP BY ALL) base
+            LEFT JOIN (SELECT profile, max(source) AS last_seq FROM ratios
+                WHERE size = 'small' GROUP BY profile) seen ON seen.profile = base.profile
+            LEFT JOIN ratios now ON now.profile = base.profile AND now.query = base.query
+                AND now.size = 'small' AND now.source = last_seq
+            LEFT JOIN (
+                SELECT profile, query, max(efficiency_coefficient) FILTER (age = 1) AS newest,
+                    max(efficiency_coefficient) FILTER (age = 2) AS before,
+                    CASE WHEN count(*) >= 2
+                        THEN stddev_pop(efficiency_coefficient) / avg(efficiency_coefficient)
+                        END AS vol
+                FROM (SELECT *, row_number() OVER (PARTITION BY profile, query
+                    ORDER BY size_idx DESC, source DESC) AS age FROM ratios)
+                WHERE age <= 3 GROUP BY profile, query
+            ) h ON h.profile = base.profile AND h.query = base.query)""",
     "config_comparison": """
         SELECT profile, count(DISTINCT size) AS sizes_completed,
             count(*) FILTER (status = 'completed') AS successful_iterations,

@@ -75,10 +75,38 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def users_by_age(users: DataFrame) -> DataFrame:
+    """Ages of all users: few different values, some of them missing."""
+    return users.select("age")
+
+
 def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_raw(users(spark, sf_dir), raw_edges(spark, sf_dir))
 
 
+def skewed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_edges`` and two users who are friends with a large part of all others."""
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity < 10")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    hubs = items.join(orders, "l_orderkey").select(
+        F.col("o_custkey").alias("user_id"),
+        (F.col("l_suppkey") % 2 + 1).alias("friend_id"),
+        F.to_date("o_orderdate").alias("since"),
+    )
+    return raw_edges(spark, sf_dir).unionByName(hubs)
+
+
+def load_skewed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph.from_raw(users(spark, sf_dir), skewed_edges(spark, sf_dir))
+
+
+def skewed_pairs(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
+    """``pairs``, and every user beside each of the two hubs."""
+    ids = users(spark, sf_dir).select(F.col("user_id").alias("user_b"))
+    hubs = ids.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("user_a"), "user_b")
+    return pairs(spark, sf_dir, gap).unionByName(hubs.where("user_a <> user_b")).distinct()
+
+
 def pairs(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
     """All pairs of different customers ``gap`` orders apart."""
     both = order_pairs(spark, sf_dir, gap).where(F.col("user_id") != F.col("friend_id"))

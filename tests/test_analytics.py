@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from kinweave.operators import analytics, metrics
+from kinweave.operators import analytics, edges, metrics
 from tests.graphs import DAY, graph_of, random_edges
 
 
@@ -111,7 +111,7 @@ def test_nth_candidate_by_narrowing(spark, n):
     # A third of all rows has one value.
     values = [5] * 700 + list(range(1300))
     df = spark.createDataFrame([(v,) for v in values], "v long")
-    assert rows(nth_row(df, "v", n, direct_rows=20)) == [(2000, sorted(values)[n])]
+    assert rows(nth_row(df, "v", n, width=20)) == [(2000, sorted(values)[n])]
     assert rows(metrics.nth_candidate(df, "v", n)) == [(2000, sorted(values)[n])]
 
 
@@ -120,6 +120,29 @@ def test_nth_candidate_beyond_the_end(spark):
     assert rows(metrics.nth_candidate(df, "v", 2)) == [(2, None)]
 
 
+@pytest.mark.parametrize("n", [0, 5, 50, 89, 90, 99, 100])
+def test_nth_candidate_with_null_keys(spark, n):
+    from kinweave.functions.ranking import nth_row
+
+    df = spark.createDataFrame([(None,)] * 10 + [(v // 2,) for v in range(90)], "v long")
+    want = [(100, n // 2 if n < 90 else None)]
+    for width in (1, 5, 20, 10_000):
+        assert rows(nth_row(df, "v", n, width)) == want
+
+
+def test_positions_keep_null_keys(spark):
+    from kinweave.functions.ranking import positions
+
+    df = spark.createDataFrame([(None if i % 2 else "g", i) for i in range(10)], "g string, v long")
+    got = {(r.g, r.v): r.position for r in positions(df, ["g"], "v", width=3).collect()}
+    assert got == {(None if i % 2 else "g", i): i // 2 + 1 for i in range(10)}
+
+
+def test_an_edge_without_an_end_is_not_canonical(spark):
+    df = spark.createDataFrame([(1, 2), (3, None)], "user_id long, friend_id long")
+    assert rows(edges.is_canonical(df)) == [(False,)]
+
+
 def test_positions_equal_row_numbers(spark):
     from kinweave.functions.ranking import positions
 

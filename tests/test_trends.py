@@ -130,9 +130,9 @@ def test_run_budget(spark, base, past, significance, improvement, rule, runs):
     ratios = spark.createDataFrame(
         data,
         "query string, seq long, efficiency_coefficient double, significance string, improvement_percentage double",
-    )
+    ).selectExpr("*", "'small' AS size")
     base_runs = spark.createDataFrame([("q", base)], "query string, base_runs int")
-    got = trends.run_budget(base_runs, ratios).first()
+    got = trends.run_budget(base_runs, ratios, "small").first()
     assert (got.rule, got.new_runs) == (rule, runs)
 
 
@@ -140,9 +140,20 @@ def test_run_budget_without_history(spark):
     ratios = spark.createDataFrame(
         [],
         "query string, seq long, efficiency_coefficient double, significance string, improvement_percentage double",
-    )
+    ).selectExpr("*", "'small' AS size")
     base_runs = spark.createDataFrame([("q", 25)], "query string, base_runs int")
-    assert tuple(trends.run_budget(base_runs, ratios).first()) == ("q", 25, 0, 25)
+    assert tuple(trends.run_budget(base_runs, ratios, "small").first()) == ("q", 25, 0, 25)
+
+
+def test_run_budget_of_a_query_that_the_previous_size_lacks(spark):
+    ratios = spark.createDataFrame(
+        [("q", "tiny", 0, 0.2, CLEAR, -80.0), ("other", "small", 1, 1.0, UNCLEAR, 0.0)],
+        "query string, size string, seq long, efficiency_coefficient double, significance string, "
+        "improvement_percentage double",
+    )
+    base_runs = spark.createDataFrame([("q", 30)], "query string, base_runs int")
+    assert tuple(trends.run_budget(base_runs, ratios, "small").first()) == ("q", 30, 7, 24)
+    assert tuple(trends.run_budget(base_runs, ratios, "large").first()) == ("q", 30, 0, 30)
 
 
 TRIALS = "profile string, size string, seq long, status string, average_efficiency double, overall_winner string"
