@@ -31,12 +31,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinweave.llm.common import id_and_text, record_batch, ship_code, stored
-from kinweave.llm.similarity import NO_ID, link_sets, set_table, sets
+from kinweave.llm.similarity import link_sets, set_table, sets
 from kinweave.llm.words import SLICE_BYTES, mix, texts
 
 SHINGLE_WORDS, PERCENT = 5, 80
 PERMUTATIONS, BANDS = 128, 16
 _OVERSAMPLE = 8
+NO_ID = -(2**63)
 
 _at = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
 _FACTOR = mix(_at * np.uint64(0x51ED2701)) | np.uint64(1)
@@ -67,8 +68,8 @@ def likeness(a: np.ndarray, full_a: np.ndarray, b: np.ndarray, full_b: np.ndarra
     return np.where(full_a & full_b, estimate, (full_a == full_b).astype(float))
 
 
-def bands(text: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes as signatures of sets, for similarity.link_sets."""
+def bands(text: np.ndarray, item: np.ndarray, size: np.ndarray, round_: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes as signatures of sets, for similarity.link_sets; the same in each round."""
     least = least_values(item, size).astype(np.uint64)
     rows = PERMUTATIONS // BANDS
     full = np.flatnonzero(size > 0)
@@ -88,7 +89,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
     at 0.8); no pair below `percent` is linked. Rows as in ngramjoin.jaccard_join.
     """
     table = stored(set_table(docs, size), "minhash-sets")
-    found = link_sets(docs, table, size, percent, bands).withColumnRenamed("node", "key")
+    found = link_sets(docs, table, size, percent, bands, rounds=1).withColumnRenamed("node", "key")
     rooted = table.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(least, "root", "left").select(

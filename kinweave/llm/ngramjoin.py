@@ -12,8 +12,8 @@ A signature of an empty subset would gather unlike documents. It is left out, wh
 safe as long as a set has at most t of them; t follows the number to be expected, and a
 set with more sends them too. Sets for which k is 0 are one signature.
 
-All signatures go to their buckets (similarity.memberships), pairs are checked by exact
-counts, and links make the groups. Equal sets are one node. Null and empty texts, or
+All signatures go to their buckets (similarity.link_sets), sets that met there are checked
+by exact counts, and links make the groups. Equal sets are one node. Null and empty texts, or
 texts without words, have no shingles and no links. A group's id is its smallest doc_id;
 rows without an id count only through their text. Repeated rows are rows of their own.
 """
@@ -40,6 +40,8 @@ _PARTS = 3
 
 def band_edges(percent: int, largest: int = 1 << 40) -> np.ndarray:
     """The largest size of each band; a set's partners lie in its band or a neighbour."""
+    if percent >= 100:
+        return np.array([largest, largest + 1], np.int64)  # only equal sets, which are one node anyway
     edges, low = [], 1
     while low <= largest:
         edges.append(low * 100 // percent)
@@ -63,13 +65,13 @@ def part_enum(percent: int) -> Signatures:
     edges = band_edges(percent)
     k, n, t = partitions(edges, percent)
 
-    def sign(text: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sign(text: np.ndarray, item: np.ndarray, size: np.ndarray, round_: int = 0) -> tuple[np.ndarray, np.ndarray]:
         texts, signatures = [], []
         for ahead in (0, 1):
             joint = np.searchsorted(edges, np.maximum(size, 1)) + ahead
             cells = np.where(size > 0, _PARTS * n[joint], 0)
             base = np.cumsum(cells) - cells
-            salt = mix(joint.astype(np.uint64) + np.uint64(1))
+            salt = mix(joint.astype(np.uint64) + np.uint64(1 + 4096 * round_))
             value = mix(item ^ salt[text])
             which = (value >> np.uint64(32)) * n[joint].astype(np.uint64)[text] >> np.uint64(32)
             within = (value & np.uint64(0xFFFFFFFF)) * np.uint64(_PARTS) >> np.uint64(32)

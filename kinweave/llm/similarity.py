@@ -21,7 +21,6 @@ from kinweave.llm.words import LOWER, NOT_SPACE, Texts, distinct, mix, shingles,
 
 #: Bits of a filter: 4 MB, sent to every task; more entries only let more rows pass it.
 FILTER_BITS = 25
-NO_ID = -(2**63)
 
 
 def sets(part: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,61 +71,140 @@ def may_hold(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (filled[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def owner(doc_id: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """One number for a document id and a set key, equal to `owner_column`."""
-    return doc_id ^ key
+def filtered_sets(docs: DataFrame, size: int, keys: DataFrame, column: str, kind: str, make: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(key, `column`): `make(items, n)` of each set in `keys`, and by chance of a few others.
+
+    A task sends equal sets of a slice once; those of several slices are met with by the caller.
+    """
+    filled = docs.sparkSession.sparkContext.broadcast(filter_bits(F.col("key"), keys))
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, part in slices(batch):
+            _, value, count, key = sets(part, size)
+            hit = np.flatnonzero((count > 0) & may_hold(filled.value, key))
+            hit = hit[np.unique(key[hit], return_index=True)[1]]
+            end = np.cumsum(count)
+            yield {"key": key[hit], column: [make(value[end[h] - count[h] : end[h]], int(count[h])) for h in hit]}
+
+    return arrow_map(id_and_text(docs), work, f"key long, {column} {kind}")
+
+
+#: Items for each counter of a sketch.
+SKETCHED = 4
+
+
+def sketch(items: np.ndarray, n: int) -> bytes:
+    """Counts of items by hash, after their number; about a byte for each four items.
+
+    The number of counters depends on a power of two near n; `apart` folds longer ones.
+    """
+    size = 1 << max(0, (n // SKETCHED).bit_length())
+    counts = np.bincount((mix(items ^ np.uint64(0xABCD)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.concatenate([[n], counts]).astype("<u2" if counts.max(initial=0) < 65536 and n < 65536 else "<u4").tobytes() + bytes([n < 65536])
 
 
-def owner_column() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).bitwiseXOR(F.col("key"))
+def _read_sketch(data: bytes) -> tuple[int, np.ndarray]:
+    values = np.frombuffer(data[:-1], "<u2" if data[-1] else "<u4").astype(np.int64)
+    return int(values[0]), values[1:]
 
 
-def ids_of(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+def may_be_similar(one: bytes, two: bytes, percent: int) -> bool:
+    """False only if the sets differ in more items than similar sets can."""
+    (n_one, a), (n_two, b) = _read_sketch(one), _read_sketch(two)
+    size = min(len(a), len(b))
+    apart = np.abs(a.reshape(-1, size).sum(axis=0) - b.reshape(-1, size).sum(axis=0)).sum()
+    return int(apart) * (100 + percent) <= (100 - percent) * (n_one + n_two)
 
 
-def sets_of(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(key, items): the set of each key of `wanted` (key, doc_id), made from that document."""
-    filled = docs.sparkSession.sparkContext.broadcast(filter_bits(owner_column(), wanted))
+def possible_pairs(docs: DataFrame, size: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys that their sketches don't rule out."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sketches = filtered_sets(docs, size, keys, "sketch", "binary", sketch).groupBy("key").agg(F.min("sketch").alias("sketch"))
+    sketches = stored(sketches, "sets-sketches")
+    both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("one")), "a")
+    both = both.join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("two")), "b")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for rows, part in slices(batch):
-            _, value, count, key = sets(part, size)
-            doc_id = ids_of(rows.column("doc_id"))
-            hit = np.flatnonzero((count > 0) & may_hold(filled.value, owner(doc_id, key)))
-            _, first = np.unique(owner(doc_id[hit], key[hit]), return_index=True)
-            hit = hit[first]
-            end = np.cumsum(count)
-            items = [value[end[h] - count[h] : end[h]].view(np.int64) for h in hit]
-            yield {"doc_id": doc_id[hit], "key": key[hit], "items": pa.array(items, pa.list_(pa.int64()))}
+        tested = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
+        keep = pa.array([may_be_similar(one, two, percent) for one, two in tested], pa.bool_())
+        yield {name: batch.column(name).filter(keep) for name in ("a", "b")}
 
-    made = arrow_map(id_and_text(docs), work, "doc_id long, key long, items array<long>")
-    named = wanted.select("key", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    return made.join(named, ["key", "doc_id"]).select("key", "items")
+    return arrow_map(both, work, "a long, b long")
 
 
-def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough, by exact counts.
+#: Sets in a block: two blocks at most are in a task's memory at once.
+BLOCK = 512
 
-    `items` (key, items) may hold a set twice; links are distinct. Sizes are compared
-    before sets, and the larger join side is one row per pair and set.
-    """
-    of_a = items.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
-    of_b = items.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
-    size_a, size_b = F.size("items_a").cast("long"), F.size("items_b").cast("long")
-    shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-    near = (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (100 * shared >= percent * (size_a + size_b - shared))
-    return pairs.join(of_a, "a").join(of_b, "b").filter(near).select("a", "b").distinct()
 
+def links_in_clusters(docs: DataFrame, size: int, clusters: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of similar sets that connect what is connected, within `clusters` (node, root).
+
+    A cluster's sets are dealt into blocks by hash, and each pair of blocks is one tile, so
+    a large cluster is spread over many tasks and each set goes to as many tiles as its
+    cluster has blocks. A tile counts shared items by an inverted list and sends the links
+    of a spanning forest.
+    """
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
+    tiles = tiles.select(
+        F.col("node").alias("key"), "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first")
+    )
+    made = filtered_sets(docs, size, clusters.select(F.col("node").alias("key")), "items", "array<long>", lambda items, _: items.view(np.int64))
+    placed = made.join(tiles, "key").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "key")
 
-Signatures = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
+        for batch in batches:
+            places = zip(*(batch.column(name).to_pylist() for name in ("root", "low", "high")))
+            items = batch.column("items")
+            for i, (place, key, first) in enumerate(zip(places, batch.column("key").to_pylist(), batch.column("first").to_pylist())):
+                if place != tile:
+                    if len(held) > 1:
+                        yield _links(held, tile[1] == tile[2], percent)
+                    tile, held = place, {}
+                held[key] = first, items[i].values.to_numpy()
+        if len(held) > 1:
+            yield _links(held, tile[1] == tile[2], percent)
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _links(held: dict[int, tuple[bool, np.ndarray]], one_block: bool, percent: int) -> pa.RecordBatch:
+    keys = list(held)
+    count = np.array([len(held[key][1]) for key in keys])
+    item, holder = np.concatenate([held[key][1] for key in keys]), np.repeat(np.arange(len(keys)), count)
+    _, item = np.unique(item, return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    holder_of = holder[order]
+    starts = np.searchsorted(item[order], np.arange(item.max(initial=-1) + 2))
+    cut = np.cumsum(count) - count
+    root = np.arange(len(keys))
+    found: list[tuple[int, int]] = []
+    for i in range(len(keys)):
+        if not one_block and not held[keys[i]][0]:
+            continue
+        own = item[cut[i] : cut[i] + count[i]]
+        lengths = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(holder_of[at], minlength=len(keys))
+        near = np.flatnonzero(100 * shared >= percent * (count[i] + count - shared))
+        for j in near[root[near] != root[i]]:
+            if root[j] != root[i]:
+                found.append((keys[i], keys[j]))
+                root[root == root[j]] = root[i]
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+Signatures = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 _TAG = np.uint64(24)
 
 
-def memberships(docs: DataFrame, size: int, signatures: Signatures, buffered: int = 1 << 20) -> DataFrame:
+def memberships(docs: DataFrame, size: int, signatures: Signatures, round_: int = 0, keys: DataFrame | None = None, buffered: int = 1 << 20) -> DataFrame:
     """(bucket, tag): documents whose signature another document with another set has.
 
-    `signatures` maps sets (text, shingle hash, sizes) to (text, signature). A map task
+    `signatures` maps sets (text, shingle hash, sizes) and a round to (text, signature). With
+    `keys` only those sets, and by chance a few others, are signed. A map task
     deals its signatures out to parts of the hash range and sends each part's as one
     binary row, nine bytes a signature: four of the signature and a tag of five, the top
     of the set's key. Equal sets of a task send theirs once. A reducer sorts a part by
@@ -137,6 +215,7 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, buffered: in
     ship_code(spark)
     # Parts follow the number of partitions that the session was sized to.
     n_parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filled = None if keys is None else spark.sparkContext.broadcast(filter_bits(F.col("key"), keys))
 
     def deal(tag: np.ndarray, signature: np.ndarray) -> dict:
         part = ((signature >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
@@ -160,8 +239,10 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, buffered: in
                 text, value, count, key = sets(part, size)
                 first = np.zeros(part.n, bool)
                 first[np.unique(key, return_index=True)[1]] = True
+                if filled is not None:
+                    first &= may_hold(filled.value, key)
                 keep = first[text]
-                text, signature = signatures(text[keep], value[keep], np.where(first, count, 0))
+                text, signature = signatures(text[keep], value[keep], np.where(first, count, 0), round_)
                 held.append(((key.view(np.uint64) >> _TAG)[text], signature))
                 if sum(len(s) for _, s in held) >= buffered:
                     yield pa.RecordBatch.from_pydict(deal(*map(np.concatenate, zip(*held))), kind)
@@ -206,48 +287,40 @@ def tag_column() -> Column:
     return F.shiftrightunsigned("key", 24)
 
 
-def link_sets(docs: DataFrame, table: DataFrame, size: int, percent: int, signatures: Signatures) -> DataFrame:
+#: Buckets of more members are met with in another round.
+SMALL_BUCKET, ROUNDS = 16, 3
+
+
+def link_sets(docs: DataFrame, table: DataFrame, size: int, percent: int, signatures: Signatures, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) over keys of sets that links connect; sets without a link are left out.
 
-    `table` is `set_table(docs, size)`, stored. Every two similar sets share a bucket. A
-    bucket's members are held against one leader at a time, and only members that are not
-    yet connected with it: a group of n near copies costs about n checks, not n * n. A
-    leader whose pairs are done leaves the bucket. When few open pairs are left, all of
-    them are checked at once. No bucket is capped, and no open pair is dropped.
+    `table` is `set_table(docs, size)`, stored. Similar sets share a bucket in each round of
+    signatures. Members of a small bucket are paired, so pairs stay linear in members; the
+    pairs pass an exact lower bound of their distance, from sketches. Members of a large
+    bucket (a common passage, or many near copies) are signed anew in the next round, where
+    similar ones meet again and unlike ones scatter. What the last round still finds in
+    large buckets is tied to one member of its bucket. Pairs and ties make clusters, and
+    within each every pair is checked exactly (links_in_clusters). No bucket is capped or
+    dropped: all pairs of a bucket are either tested or end in one cluster.
     """
-    holders = stored(table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "sets-keys")
-    tagged = holders.select("key", tag_column().alias("tag"))
-    members = stored(memberships(docs, size, signatures).join(tagged, "tag").select("bucket", "key"), "sets-members")
-    candidates = holders.join(members.select("key").distinct(), "key", "left_semi")
-    items = stored(sets_of(docs, size, candidates), "sets-items")
-    links, found = [], None
-    round_ = 0
-    while True:
-        rows = members if found is None else members.join(found, members["key"] == found["node"], "left").select("bucket", "key", "root")
-        rows = rows.withColumn("root", F.col("key") if found is None else F.coalesce("root", "key"))
-        order = F.struct(F.xxhash64("key", F.lit(round_)).alias("by"), F.col("key").alias("key"), F.col("root").alias("root"))
-        leaders = rows.groupBy("bucket").agg(F.min(order).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        leaders = leaders.filter("low <> high").select("bucket", F.col("leader.key").alias("leader"), F.col("leader.root").alias("leader_root"), "n")
-        open_ = stored(rows.join(leaders, "bucket"), "sets-open")
-        size_ = open_.agg(F.sum("n"), F.count("*")).first()
-        if not size_[1]:
-            break
-        last = size_[0] <= 8 * size_[1]
-        if last:
-            # At most eight members a bucket on average: the sum over members of their bucket's size.
-            left, right = open_.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a")), open_.select("bucket", F.col("key").alias("b"), "root")
-            pairs = left.join(right, "bucket").filter("a < b and root_a <> root").select("a", "b").distinct()
-        else:
-            pairs = open_.filter("root <> leader_root").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        links.append(stored(verified(pairs, items, percent), "sets-links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        found = stored(components(every), "sets-found")
-        if last:
+    keys = stored(table.filter("key is not null").select("key").distinct(), "sets-keys").withColumn("tag", tag_column())
+    edges, again = [], None
+    for round_ in range(rounds):
+        members = memberships(docs, size, signatures, round_, again).join(keys, "tag").select("bucket", "key")
+        members = stored(members, "sets-members")
+        buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+        members = stored(members.join(buckets, "bucket"), "sets-buckets")
+        small, large = members.filter(F.col("n") <= SMALL_BUCKET), members.filter(F.col("n") > SMALL_BUCKET)
+        left, right = small.select("bucket", F.col("key").alias("a")), small.select("bucket", F.col("key").alias("b"))
+        pairs = stored(left.join(right, "bucket").filter("a < b").select("a", "b").distinct(), "sets-pairs")
+        edges.append(possible_pairs(docs, size, pairs, percent))
+        if round_ + 1 == rounds:
+            edges.append(large.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())
+        again = large.select("key").distinct()
+        if again.isEmpty():
             break
-        members = open_.filter("key <> leader").select("bucket", "key")
-        round_ += 1
-    if found is None:
-        return members.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
-    return found
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.union(more)
+    clusters = stored(components(every), "sets-clusters")
+    return components(links_in_clusters(docs, size, clusters, percent))
