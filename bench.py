@@ -93,6 +93,17 @@ def main() -> None:
         "crossovers": lambda: catalog.curves.crossovers(catalog.curve(runs()), "a", "b"),
         "trend_regression": lambda: catalog.trend(runs()),
     }
+    skewed = supplied.load_skewed_graph(spark, SF_DIR)
+    tabular.write_tables(skewed.users, skewed.edges, f"{folder}/skewed")
+    skewed = Graph(
+        read(f"{folder}/skewed/users.parquet"), read(f"{folder}/skewed/friendships.parquet")
+    )
+    queries["friends_of_friends_skewed"] = lambda: near.friends_of_friends(skewed, skewed.seeds)
+    queries["friend_recommendations_skewed"] = lambda: near.friend_recommendations(
+        skewed, skewed.seeds
+    )
+    for name in ("nth_candidate", "pick_pair", "integrity_report", "resolved_edges", "run_budget"):
+        queries[name] = lambda query=catalog.QUERIES[name]: query(spark, SF_DIR)
     for name in (
         "cohort_analysis",
         "social_cities",
