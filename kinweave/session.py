@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,16 +36,27 @@ def build_session(app: str = "kinweave", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A folder of our own is set only where neither ``spark.checkpoint.dir`` nor an
-    earlier ``setCheckpointDir`` call named one, which is the case in local tests.
+    Where neither ``spark.checkpoint.dir`` nor an earlier ``setCheckpointDir`` call named
+    one, a local session gets a folder of its own that goes when the program ends; on a
+    cluster that is an error, as executors don't see each other's disks.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kinweave-ckpt-"))
+        context.setCheckpointDir(configured or _own_folder(context.master))
     return (configured or context.getCheckpointDir()).rstrip("/")
 
 
+def _own_folder(master: str) -> str:
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(
+            f"Set spark.checkpoint.dir to a folder that all executors share (master {master})."
+        )
+    folder = tempfile.mkdtemp(prefix="kinweave-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
