@@ -14,6 +14,11 @@ def r(value: str, digits: int = 6) -> str:
     return f"CAST(round(CAST({value} AS DECIMAL(30, 9)), {digits}) AS DOUBLE)"
 
 
+def once(value: str, digits: int) -> str:
+    """Round half up, once, on the decimal digits that a double stands for."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
+
+
 def _edges_by_gap(gap: int) -> str:
     return f"""
         SELECT a.o_custkey AS user_id, b.o_custkey AS friend_id,
@@ -140,10 +145,10 @@ VIEWS = {
         FROM runs GROUP BY ALL""",
     "ratios": f"""
         SELECT a.profile, a.size, a.size_idx, a.source, a.query,
-            {r("a.avg_time / b.avg_time", 2)} AS efficiency_coefficient,
-            {r("a.avg_time / b.avg_time", 1)} AS b_faster_times,
-            {r("(a.avg_time - b.avg_time) / a.avg_time * 100", 1)} AS improvement_percentage,
-            {r("a.avg_time * 1000", 2)} AS a_time_ms, {r("b.avg_time * 1000", 2)} AS b_time_ms,
+            {once("a.avg_time / b.avg_time", 2)} AS efficiency_coefficient,
+            {once("a.avg_time / b.avg_time", 1)} AS b_faster_times,
+            {once("(a.avg_time - b.avg_time) / a.avg_time * 100", 1)} AS improvement_percentage,
+            {once("a.avg_time * 1000", 2)} AS a_time_ms, {once("b.avg_time * 1000", 2)} AS b_time_ms,
             CASE WHEN abs(a.avg_time - b.avg_time) > a.std_time + b.std_time
                 THEN '{CLEAR}' ELSE '{UNCLEAR}' END AS significance,
             a.results_count AS result_count_a, b.results_count AS result_count_b
@@ -469,14 +474,14 @@ BODIES = {
     "fastest_queries": f"""
         SELECT query, c AS efficiency_coefficient,
             CASE WHEN c > 1 THEN 'b' WHEN c > 0 THEN 'a' END AS faster,
-            CASE WHEN c > 1 THEN {r("c", 1)} WHEN c > 0 THEN {r("1 / greatest(c, 0.01)", 1)} END
+            CASE WHEN c > 1 THEN {once("c", 1)} WHEN c > 0 THEN {once("1 / greatest(c, 0.01)", 1)} END
                 AS times
-        FROM (SELECT query, {r("a.avg_time / b.avg_time", 2)} AS c
+        FROM (SELECT query, {once("a.avg_time / b.avg_time", 2)} AS c
             FROM pooled a JOIN pooled b USING (query) WHERE a.engine = 'a' AND b.engine = 'b')
         ORDER BY c DESC, query LIMIT 5""",
     "engine_ratio": f"""
-        SELECT query, {r("a.avg_time * 1000", 2)} AS a_ms, {r("b.avg_time * 1000", 2)} AS b_ms,
-            {r("a.avg_time / nullif(b.avg_time, 0)", 2)} AS ratio
+        SELECT query, {once("a.avg_time * 1000", 2)} AS a_ms, {once("b.avg_time * 1000", 2)} AS b_ms,
+            {once("a.avg_time / nullif(b.avg_time, 0)", 2)} AS ratio
         FROM (SELECT * FROM pooled WHERE engine = 'a') a
         LEFT JOIN (SELECT * FROM pooled WHERE engine = 'b') b USING (query)""",
     "wins_by_size": """

@@ -112,3 +112,11 @@ def test_p_values_at_known_critical_points(spark):
         assert row.p == pytest.approx(0.1, abs=2e-5)
     zero = spark.createDataFrame([(3, 0.0), (4, 0.0)], "n long, t double")
     assert [r[0] for r in zero.select(two_sided_p(F.col("t"), F.col("n"))).collect()] == [1.0, 1.0]
+
+
+def test_ratios_are_rounded_once(spark):
+    stats = spark.createDataFrame(
+        [("a", "q", 1.00499999996, 0.0, 1), ("b", "q", 1.0, 0.0, 1)],
+        "engine string, query string, avg_time double, std_time double, results_count int",
+    )
+    assert m.efficiency(stats, "a", "b").first().efficiency_coefficient == 1.0
