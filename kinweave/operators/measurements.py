@@ -200,12 +200,13 @@ def engine_ratio(stats: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def points(means: DataFrame, a: str, b: str, users: str = "users_n") -> DataFrame:
-    """(query, users_n, a, b): mean times of sizes measured on both engines."""
+    """(query, users_n, a, b): finite mean times of sizes measured on both engines."""
     sides = means.groupBy("query", users).agg(
         F.avg(F.when(F.col("engine") == a, F.col("mean_time"))).alias("a"),
         F.avg(F.when(F.col("engine") == b, F.col("mean_time"))).alias("b"),
     )
-    return sides.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    limit = F.lit(float("inf"))  # NaN is larger in Spark's order
+    return sides.where((F.abs("a") < limit) & (F.abs("b") < limit))
 
 
 def wins_by_size(size_points: DataFrame, a: str, b: str, users: str = "users_n") -> DataFrame:

@@ -120,3 +120,11 @@ def test_ratios_are_rounded_once(spark):
         "engine string, query string, avg_time double, std_time double, results_count int",
     )
     assert m.efficiency(stats, "a", "b").first().efficiency_coefficient == 1.0
+
+
+def test_points_are_finite(spark):
+    means = spark.createDataFrame(
+        [(e, "q", n, v) for n, v in enumerate([1.0, float("nan"), float("inf"), None]) for e in "ab"],
+        "engine string, query string, users_n long, mean_time double",
+    )
+    assert [r.users_n for r in m.points(means, "a", "b").collect()] == [0]
