@@ -146,7 +146,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of `docs`, `text` without later copies, with n_lines and n_removed."""
     gone = stored(removed_lines(docs, min_words), "lines-removed").alias("gone")
     keyed = docs.select(F.struct("*").alias("row"), *_keys()).alias("kept")
-    joined = keyed.join(gone, (F.col("kept.d_id") == F.col("gone.d_id")) & (F.col("kept.d_hash") == F.col("gone.d_hash")), "left")
+    # One plan at every size: documents that lose lines grow with the corpus.
+    joined = keyed.join(gone.hint("merge"), (F.col("kept.d_id") == F.col("gone.d_id")) & (F.col("kept.d_hash") == F.col("gone.d_hash")), "left")
     text, removed = F.col("row.text").cast("string"), F.col("gone.removed")
     left = F.filter(_lines(text), lambda line, at: ~F.array_contains(removed, at))
     columns = {c: F.col("row")[c] for c in docs.columns if c not in ("n_lines", "n_removed")}
