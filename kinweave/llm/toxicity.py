@@ -6,7 +6,7 @@ are the words whose share differs between the two labels beyond chance (`MIN_CHI
 most `TERMS`; their document frequencies come from all documents. A text is a vector of
 (1 + log tf) * idf over these terms, scaled to length 1.
 
-The index keeps postings by term in blocks of `BLOCK` examples with each block's largest
+The index holds the examples that have a term and keeps postings by term in blocks of `BLOCK` examples with each block's largest
 weight. A block's bound is the sum of query weight times block maximum; blocks are read
 by falling bound until the k-th best cosine exceeds the next bound, so the k neighbours
 are exactly those of a full scan (ties: lower example number). Their votes, weighted by
@@ -104,22 +104,25 @@ class BlockMaxIndex:
         bound = weight @ self.most[term]
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        found, score, at = np.zeros(0, np.int64), np.zeros(0), 0
+        found, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while at < len(blocks):
             if len(score) >= k and np.partition(score, -k)[-k] > bound[blocks[at]] + 1e-12:
                 break
-            some = blocks[at : at + 8]
-            at += len(some)
-            total = np.zeros((len(some), BLOCK))
-            for t, w in zip(term, weight):
-                for i, block in enumerate(some):
-                    a, b = self.starts[t * self.n_blocks + block : t * self.n_blocks + block + 2]
-                    if a < b:
-                        total[i, self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            i, j = np.nonzero(total)
-            found, score = np.append(found, some[i] * BLOCK + j), np.append(score, total[i, j])
-            keep = found != without
-            found, score = found[keep], score[keep]
+            some = blocks[at : at + step]
+            at, step = at + len(some), 2 * step
+            # All postings of the terms in these blocks at once.
+            cells = (term[:, None] * self.n_blocks + some).ravel()
+            first = self.starts[cells]
+            size = self.starts[cells + 1] - first
+            each = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            place = np.tile(np.arange(len(some)) * BLOCK, len(term))
+            place = np.repeat(place, size) + self.example[each] % BLOCK
+            product = np.repeat(np.repeat(weight, len(some)), size) * self.weight[each]
+            total = np.bincount(place, weights=product, minlength=len(some) * BLOCK)
+            new = np.flatnonzero(total)
+            example = some[new // BLOCK] * BLOCK + new % BLOCK
+            keep = example != without
+            found, score = np.append(found, example[keep]), np.append(score, total[new[keep]])
         best = np.lexsort((found, -np.round(score, 12)))[:k]
         return found[best], score[best]
 
@@ -217,21 +220,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             }
 
     made = arrow_map(sample, vectors, "doc_id long, toxic int, term array<long>, weight array<double>")
-    examples = sorted(made.collect(), key=lambda r: (r["doc_id"], r["term"], r["weight"]))
+    examples = made.collect()
+    bare = [r["toxic"] > 0 for r in examples if not r["term"]]
+    share = float(np.mean([r["toxic"] > 0 for r in examples])) if examples else 0.0
+    share_without = float(np.mean(bare)) if bare else share
+
+    def order(row) -> tuple:
+        # Examples with the same leading term share blocks, which makes bounds tight.
+        return row["term"][int(np.argmax(row["weight"]))], row["toxic"], row["doc_id"], row["term"], row["weight"]
+
+    examples = sorted((r for r in examples if r["term"]), key=order)
     label = np.array([r["toxic"] > 0 for r in examples], float)
     size = [len(r["term"]) for r in examples]
     number = np.repeat(np.arange(len(examples)), size)
     term = np.array([t for r in examples for t in r["term"]], np.int64)
     weight = np.array([w for r in examples for w in r["weight"]], float)
     index = BlockMaxIndex(number, term, weight, len(hashes), len(examples))
-    bare = label[np.array(size) == 0] if examples else label
     ids = np.array([r["doc_id"] for r in examples], np.int64)
-    share = float(label.mean()) if len(label) else 0.0
-    model = Model(terms, index, label, ids, share, float(bare.mean()) if len(bare) else share, np.zeros(0), np.zeros(0))
+    model = Model(terms, index, label, ids, share, share_without, np.zeros(0), np.zeros(0))
     cut = np.cumsum([0, *size])
-    own = [i for i in range(len(examples)) if size[i]]
-    raw = np.array([model.raw(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], i)[0] for i in own])
-    model.steps, model.values = monotone(raw, label[own])
+    raw = np.array([model.raw(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], i)[0] for i in range(len(examples))])
+    model.steps, model.values = monotone(raw, label)
     return model
 
 
