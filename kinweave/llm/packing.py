@@ -99,8 +99,8 @@ def tokenise(docs: DataFrame) -> DataFrame:
 class Schedule:
     """How many tokens of each queue lie before each shard."""
 
-    def __init__(self, sizes: list[int], weights: list[float], shard_tokens: int = WINDOW * SHARD_WINDOWS):
-        self.sizes, self.shard_tokens = [int(n) for n in sizes], shard_tokens
+    def __init__(self, sizes: list[int], weights: list[float], shard_tokens: int | None = None):
+        self.sizes, self.shard_tokens = [int(n) for n in sizes], shard_tokens or WINDOW * SHARD_WINDOWS
         live = [q for q, n in enumerate(self.sizes) if n]
         # Queues without weight follow when the others are empty.
         #: Phases as (tokens packed before, shares); given counts at their borders.
@@ -121,7 +121,7 @@ class Schedule:
             self.borders.append(self.borders[-1] + length)
             self.given.append(given)
         total = sum(self.sizes)
-        self.n_shards = max(1, -(-total // shard_tokens))
+        self.n_shards = max(1, -(-total // self.shard_tokens))
 
     def before(self, shard: int) -> np.ndarray:
         """Tokens of each queue before a shard."""
@@ -242,8 +242,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
             numbers = sorted(queues)
             taken = schedule.before(shard + 1) - schedule.before(shard)
             shares = taken[numbers] / taken.sum()
-            # Sequence ids leave room for a shard's closing powers of two.
-            found = list(pack_shard([queues[q] for q in numbers], shares, shard * 2 * SHARD_WINDOWS))
+            # Sequence ids leave room for what floors add to a shard and its closing powers of two.
+            found = list(pack_shard([queues[q] for q in numbers], shares, shard * (2 * SHARD_WINDOWS + 64)))
             columns = {name: [row[i] for row in found] for i, name in enumerate(kind.names)}
             columns["queue"] = [numbers[q] for q in columns["queue"]]
             return record_batch(columns, kind)
