@@ -26,6 +26,7 @@ no pieces.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -47,6 +48,10 @@ WINDOW, SHARD_WINDOWS = 1024, 1024
 MAX_QUEUES, OVERFLOW = 1000, 64
 #: The vocabulary of byte_bpe_50k.json as ranks; ids are equal, reading is faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The pattern's backtracking stack overflows on runs of white space of about a million. Runs
+#: of this length are cut out; the class is that of the pattern (Unicode white space).
+LONG_BLANK = 100_000
+_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_BLANK)
 
 TOKENS = "doc_id long, source string, task int, before long, n_tokens long, ids binary"
 SHARDED = "shard long, queue int, place long, doc_id long, start long, doc_tokens long, ids binary"
@@ -63,9 +68,27 @@ def encoding(name: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ordinary(text: str, name: str = VOCABULARY) -> list[int]:
+    """The ids of a text whose special strings are ordinary text.
+
+    A long run of white space is one piece of the pattern, but for its last character where
+    a word follows; it begins a piece, so the rest is read by itself.
+    """
+    coder = encoding(name)
+    if len(text) < LONG_BLANK:
+        return coder.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += coder.encode_ordinary(text[at : run.start()])
+        ids += coder._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
+
 def encode(text: str | None, name: str = VOCABULARY) -> np.ndarray:
-    """The ids of a text and the closing 0, as unsigned 16-bit numbers."""
-    return np.array([*encoding(name).encode_ordinary(text or ""), 0], np.uint16)
+    """The ids of an ordinary text and the closing 0, as unsigned 16-bit numbers."""
+    return np.array([*ordinary(text or "", name), 0], np.uint16)
 
 
 def tokenise(docs: DataFrame) -> DataFrame:

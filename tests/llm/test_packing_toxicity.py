@@ -1,6 +1,7 @@
 """Packing as an exact cover of the tokens; toxicity by full scans and held-out rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -78,6 +79,21 @@ def test_special_strings_are_text(tokenizer):
         assert packing.encode(text).tolist() == ids_of(tokenizer, text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_long_runs_of_white_space(tokenizer, blank):
+    text = f"a{blank * 1_200_000}x y"
+    assert packing.encode(text).tolist() == ids_of(tokenizer, text)
+
+
+def test_cut_runs_equal_uncut(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_BLANK", 2)
+    monkeypatch.setattr(packing, "_BLANK", re.compile(packing._BLANK.pattern.replace("100000", "2")))
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(" \n\t\r\x1c\x1f\x85\xa0\u2003\u200b\u3000\u180e  aé'1!s") for _ in range(rng.randrange(30)))
+        assert packing.encode(text).tolist() == ids_of(tokenizer, text), repr(text)
+
+
 def test_packing_of_odd_rows(spark, tokenizer):
     docs = fixtures.odd(spark)
     rows = packing.pack(docs).collect()
