@@ -17,10 +17,10 @@ phases. Without given targets the mixture is that of the corpus, which every win
 keep to the end. A shard's last tokens, less than a window, are cut into powers of two,
 so nothing is padded.
 
-Tokens are the ids of a public byte-level vocabulary, with id 0 behind each document,
-read as plain text (strings of special tokens are ordinary text). A null or empty text is
-one id 0. A null source is a queue. Repeated rows are packed again. An empty table gives
-no pieces.
+Tokens are the ids of a public byte-level vocabulary, with id 0 behind each document. The
+ids are those that `tokenizers` gives for byte_bpe_50k.json by default: the string of its
+added token is that token, all else is ordinary text. A null or empty text is one id 0. A
+null source is a queue. Repeated rows are packed again. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ WINDOW, SHARD_WINDOWS = 1024, 1024
 MAX_QUEUES, OVERFLOW = 1000, 64
 #: The vocabulary of byte_bpe_50k.json as ranks; ids are equal, reading is faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json, which the rank file doesn't hold.
+END_OF_TEXT, END_ID = "<|endoftext|>", 50256
 #: The pattern's backtracking stack overflows on runs of white space of about a million. Runs
 #: of this length are cut out; the class is that of the pattern (Unicode white space).
 LONG_BLANK = 100_000
@@ -91,6 +93,21 @@ def encode(text: str | None, name: str = VOCABULARY) -> np.ndarray:
     return np.array([*ordinary(text or "", name), 0], np.uint16)
 
 
+def document_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
+    """The ids of a document and the closing 0; its strings of the added token are one id each.
+
+    What stands between them is read by itself, as `tokenizers` does.
+    """
+    first, *others = (text or "").split(END_OF_TEXT)
+    if not others:
+        return encode(first, name)
+    ids = ordinary(first, name)
+    for other in others:
+        ids.append(END_ID)
+        ids += ordinary(other, name)
+    return np.array([*ids, 0], np.uint16)
+
+
 def tokenise(docs: DataFrame) -> DataFrame:
     """Each row's ids, with its place among the rows of its source in its task."""
     ship_code(docs.sparkSession)
@@ -102,7 +119,7 @@ def tokenise(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 source = part.column("source").to_pylist()
-                ids = [encode(text.as_py()) for text in part.column("text")]
+                ids = [document_ids(text.as_py()) for text in part.column("text")]
                 before = []
                 for name, value in zip(source, ids):
                     before.append(so_far.get(name, 0))

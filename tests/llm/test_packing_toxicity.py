@@ -79,6 +79,18 @@ def test_special_strings_are_text(tokenizer):
         assert packing.encode(text).tolist() == ids_of(tokenizer, text)
 
 
+def test_added_token_is_one_id(spark):
+    """Documents as the tokenizer reads them by default, through the whole operator."""
+    by_default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end}", f"a  {end}\n\n{end} x", "<|endoftext|", f"<{end}>", f"it{end}'s", "plain", "", None]
+    for text in texts:
+        assert packing.document_ids(text).tolist() == ids_of(by_default, text)
+    ids = {i: ids_of(by_default, text) for i, text in enumerate(texts)}
+    assert ids[1][2] == 50256
+    check_cover(packing.pack(fixtures.table(spark, texts)).collect(), ids)
+
+
 @pytest.mark.parametrize("blank", [" ", "\n"])
 def test_long_runs_of_white_space(tokenizer, blank):
     text = f"a{blank * 1_200_000}x y"
