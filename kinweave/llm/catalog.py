@@ -37,5 +37,5 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": _on_documents(_mixed),
     "op8_quality": _on_documents(quality.quality_rules),
     "op9_pieces": _on_documents(pieces.piece_counts),
-    "op10_fingerprints": _on_documents(minhash.edit_test),
+    "op10_fingerprints": _on_documents(minhash.fingerprints),
 }

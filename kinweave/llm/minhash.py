@@ -7,7 +7,7 @@ fingerprints' likeness is the share of equal bytes, less what chance makes equal
 without words has the empty fingerprint, like only itself.
 
 `near_copies` hashes bands of full values, joins the bands in Spark and checks every pair
-by its exact Jaccard similarity. `edit_test` holds each text against itself with its end
+by its exact Jaccard similarity; `fingerprints` adds its classes to the rows of `edit_test`. `edit_test` holds each text against itself with its end
 replaced by the next document's beginning: rows are dealt out in runs of the order, and
 the first row of each run is also sent to the run before it, so no row needs a second
 pass and no window holds the table. Texts travel compressed.
@@ -35,7 +35,7 @@ from kinweave.llm.similarity import link_sets, set_table, sets
 from kinweave.llm.words import SLICE_BYTES, mix, texts
 
 SHINGLE_WORDS, PERCENT = 5, 80
-PERMUTATIONS, BANDS = 128, 16
+PERMUTATIONS, BANDS = 128, 32
 _OVERSAMPLE = 8
 NO_ID = -(2**63)
 
@@ -56,10 +56,10 @@ def least_values(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(column: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(low bytes of the least values, whether the text has words)."""
-    _, value, count, _ = sets(texts(pa.array(column, pa.large_string())), SHINGLE_WORDS)
-    return (least_values(value, count) & np.uint32(255)).astype(np.uint8), count > 0
+def fingerprints_of(column: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low bytes of the least values, number of distinct runs, key of their set)."""
+    _, value, count, key = sets(texts(pa.array(column, pa.large_string())), SHINGLE_WORDS)
+    return (least_values(value, count) & np.uint32(255)).astype(np.uint8), count, key
 
 
 def likeness(a: np.ndarray, full_a: np.ndarray, b: np.ndarray, full_b: np.ndarray) -> np.ndarray:
@@ -82,15 +82,20 @@ def bands(text: np.ndarray, item: np.ndarray, size: np.ndarray, round_: int = 0)
     return np.repeat(full, BANDS), signatures.ravel()
 
 
+def _rooted(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, key, root) of each row; rows of one group have the same root."""
+    table = stored(set_table(docs, size), "minhash-sets")
+    found = link_sets(docs, table, size, percent, bands, rounds=1).withColumnRenamed("node", "key")
+    return table.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id): groups of texts linked by verified band candidates.
 
-    Pairs are found with the bands' probability (over 0.99 from a similarity of 0.87, 0.95
-    at 0.8); no pair below `percent` is linked. Rows as in ngramjoin.jaccard_join.
+    Pairs are found with the bands' probability (over 0.9999999 from a similarity of 0.8);
+    no pair below `percent` is linked. Rows as in ngramjoin.jaccard_join.
     """
-    table = stored(set_table(docs, size), "minhash-sets")
-    found = link_sets(docs, table, size, percent, bands, rounds=1).withColumnRenamed("node", "key")
-    rooted = table.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = _rooted(docs, size, percent)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
@@ -100,8 +105,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
 DEALT = "chunk long, guest boolean, rank long, hash long, doc_id long, packed binary"
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, n_shingles long"
 )
+KEYED = f"{SCHEMA}, key long"
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -130,10 +136,31 @@ def _cuts(ordered: DataFrame) -> tuple[tuple[int, int] | None, list[tuple[int, i
 
 def edit_test(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: fingerprints of the text and its edited form, and likenesses."""
+    return _edited(docs).drop("key")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """The rows of `edit_test` with `class_id`, the least doc_id of the text's near copies.
+
+    Rows meet their group by the key of their set, so repeated and null ids don't matter. A
+    text that is in no group is its own; texts without a key are spread by another hash.
+    """
+    rooted = _rooted(docs, SHINGLE_WORDS, PERCENT).filter("key is not null")
+    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
+    grouped = rooted.select("key", "root").distinct().join(groups, "root")
+    grouped = stored(grouped.select(F.col("key").alias("meet"), F.lit(True).alias("keyed"), "class_id"), "minhash-groups")
+    rows = _edited(docs).withColumns({"keyed": F.col("key").isNotNull(), "meet": F.coalesce("key", F.xxhash64("doc_id", "edited_sha256"))})
+    met = rows.join(grouped.withColumn("grouped", F.lit(True)), ["meet", "keyed"], "left")
+    class_id = F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id"))
+    return met.select(*StructType.fromDDL(SCHEMA).names, class_id.alias("class_id"))
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """The rows of `edit_test` and the key of each text's set."""
     ordered = _ordered(docs)
     ship_code(docs.sparkSession)
     first, cuts = _cuts(ordered)
-    dealt_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (DEALT, SCHEMA))
+    dealt_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (DEALT, KEYED))
     begins = set(cuts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +202,16 @@ def edit_test(docs: DataFrame) -> DataFrame:
                     rows, held = rows[-1:], len(text)
 
     dealt = ordered.mapInArrow(deal, DEALT)
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "guest", "rank", "hash").mapInArrow(run, SCHEMA)
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "guest", "rank", "hash").mapInArrow(run, KEYED)
 
 
 def _compared(rows: list[tuple[int | None, str]]) -> dict:
     """Results for all rows but the last, which is only the next of the one before it."""
     own = [text for _, text in rows]
     edited = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for text, after in zip(own, own[1:])]
-    print_, full = fingerprints_of(own)
-    edited_print, edited_full = fingerprints_of(edited)
+    print_, count, key = fingerprints_of(own)
+    edited_print, edited_count, _ = fingerprints_of(edited)
+    full, edited_full = count > 0, edited_count > 0
     n = len(edited)
     return {
         "doc_id": [doc_id for doc_id, _ in rows[:-1]],
@@ -193,4 +221,6 @@ def _compared(rows: list[tuple[int | None, str]]) -> dict:
         "edited_fingerprint": [p.tobytes().hex() if f else "" for p, f in zip(edited_print, edited_full)],
         "near_edited": likeness(print_[:n], full[:n], edited_print, edited_full),
         "near_next": likeness(print_[:n], full[:n], print_[1:], full[1:]),
+        "n_shingles": count[:n],
+        "key": pa.array(key[:n], mask=~full[:n]),
     }

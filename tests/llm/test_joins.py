@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kinweave.llm import minhash, ngramjoin, similarity
+from kinweave.llm.catalog import QUERIES
 from kinweave.llm.components import components
 from tests.llm import brute, fixtures
 
@@ -126,6 +127,30 @@ def test_near_copies_have_no_false_links(spark):
     assert sum(got[a] == got[b] for a, b in strong) >= 0.97 * len(strong)
 
 
+def test_near_copies_at_the_threshold_are_found(spark):
+    """Pairs of a similarity of 0.8 and little more, each of words of its own."""
+    texts = []
+    for pair in range(400):
+        words = [f"p{pair}w{i}" for i in range(104)]
+        texts += [" ".join(words), " ".join(words[: 84 + pair % 3])]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_copies(fixtures.table(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_query_has_classes_of_near_copies(spark):
+    texts = texts_with_copies(22)
+    odd = fixtures.odd(spark).select("doc_id", "text")
+    docs = fixtures.table(spark, texts, range(1000, 1000 + len(texts))).select("doc_id", "text").union(odd)
+    source = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted = brute.components([i for i, _ in source], brute.linked([t for _, t in source], 5, 80))
+    expected = sorted((repr(i), len(t or ""), len(brute.shingles(t, 5)), repr(c)) for (i, t), c in zip(source, wanted))
+    rows = minhash.fingerprints(docs).collect()
+    assert sorted((repr(r["doc_id"]), r["n_chars"], r["n_shingles"], repr(r["class_id"])) for r in rows) == expected
+    plain = [tuple(r) for r in minhash.edit_test(docs).collect()]
+    assert sorted(map(repr, plain)) == sorted(repr(tuple(r)[:-1]) for r in rows)
+    assert QUERIES["op10_fingerprints"](spark, "/root/testdata/sf0.001").columns[-2:] == ["n_shingles", "class_id"]
+
+
 def order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
 
