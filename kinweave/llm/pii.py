@@ -9,8 +9,8 @@ their patterns; a match that fails its check is dropped without a retry. Added k
 
 * `phone` again, when digits behind a number made the greedy match too long: the longest
   run of whole digit groups with 10 to 15 digits;
-* `url`, `secret` (access keys and values after a cue), `iban` (modulus 97), `account`
-  (digits after a cue), `address` (house number and street word).
+* `url`, `secret` (access keys and values after a cue), `iban` (whole groups that pass
+  modulus 97, of the country's length or else the longest), `account` (digits after a cue), `address` (house number and street word).
 
 Null and empty texts have no spans. Rows, repeated or with a null id, stay as they are.
 """
@@ -43,6 +43,12 @@ SECRET_CUES = ["password", "passwd", "token", "secret", "api_key", "api-key", "a
 ACCOUNT_CUES = ["account", "acct", "konto", "cuenta", "compte"]
 STREET_CUES = [" street", " avenue", " road", " boulevard", " lane"]
 ACCESS_KEY = "AKIA"
+#: Characters of an IBAN by country.
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+IBAN_LENGTHS = {entry[:2]: int(entry[2:]) for entry in _LENGTHS.split()}
 
 
 @lru_cache(maxsize=1)
@@ -218,12 +224,21 @@ def _ibans(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         head = start - 2
         if not (text[head:start].isalpha() and text[head:start].isupper()) or (head and text[head - 1] in _UPPER):
             continue
-        stop, value = head, ""
+        stop, value, best = head, "", None
         while stop < len(text) and len(value) < 34 and (text[stop] in _UPPER or (text[stop] == " " and text[stop + 1 : stop + 2] in _UPPER)):
             value += text[stop].strip()
             stop += 1
-        if 15 <= len(value) and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
-            yield head, stop
+            # Behind each group may stand another word or number: the country's length, or else the longest.
+            if len(value) >= 15 and text[stop : stop + 1] not in _UPPER and _is_iban(value):
+                best = stop
+                if len(value) == IBAN_LENGTHS.get(value[:2]):
+                    break
+        if best:
+            yield head, best
+
+
+def _is_iban(value: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
 def _accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
