@@ -15,6 +15,7 @@ Null and empty texts have no words, places or labels and score 0; rows stay as t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -165,30 +166,40 @@ class Scanner:
                 yield int(text[a]), int(a), int(b) + 1
 
     def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """(first word, end word, label, coverage) of the spans in one text."""
-        best: dict[tuple[str, int], tuple[int, int, str, float]] = {}
-        open_: dict[int, list[int]] = {}
-
-        def close(template: int) -> None:
-            start, end, covered, _ = open_.pop(template)
-            share = min(1.0, covered / self.sizes[template])
-            if covered >= LONG_CHAIN or (covered >= MIN_WORDS and share >= MIN_COVERAGE):
-                key = self.labels[template], start
-                if key not in best or best[key][3] < share:
-                    best[key] = start, end, self.labels[template], share
-
+        """(first word, end word, label, coverage) of the spans in one text.
+
+        Each place of a match in a template goes on with the best chain that ends near
+        before it, or begins a chain; chains that it doesn't continue stay open until they
+        are `MAX_GAP` words away. Of chains that overlap in a template the best one stays.
+        """
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}
+        full: dict[int, set[tuple[int, int, int]]] = {}
         for start, end, state in found:
+            near: dict[int, list[tuple[int, int, int, int]]] = {}
             for template, place in sorted(self.automaton.ends[state]):
-                chain = open_.get(template)
-                if chain and start - chain[1] <= MAX_GAP and place > chain[3]:
-                    new = min(end - max(start, chain[1]), place - chain[3])
-                    open_[template] = [chain[0], end, chain[2] + max(0, new), place]
-                elif chain is None or end - start >= chain[2]:
-                    if chain:
-                        close(template)
-                    open_[template] = [start, end, end - start, place]
-        for template in list(open_):
-            close(template)
+                if template not in near:
+                    near[template] = [chain for chain in open_.get(template, []) if start - chain[1] <= MAX_GAP]
+                    open_[template] = list(near[template])
+                first, covered = start, end - start
+                for chain in near[template]:
+                    if place > chain[3]:
+                        more = chain[2] + max(0, min(end - max(start, chain[1]), place - chain[3]))
+                        if (more, -chain[0]) > (covered, -first):
+                            first, covered = chain[0], more
+                open_[template].append((first, end, covered, place))
+                if covered >= LONG_CHAIN or (covered >= MIN_WORDS and covered >= MIN_COVERAGE * self.sizes[template]):
+                    full.setdefault(template, set()).add((covered, first, end))
+        best: dict[tuple[str, int], tuple[int, int, str, float]] = {}
+        for template, chains in sorted(full.items()):
+            label, taken = self.labels[template], []
+            for covered, first, end in sorted(chains, key=lambda chain: (-chain[0], chain[1], -chain[2])):
+                at = bisect_left(taken, (first, end))
+                if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (first, end))
+                share = min(1.0, covered / self.sizes[template])
+                if (label, first) not in best or best[label, first][3] < share:
+                    best[label, first] = first, end, label, share
         return sorted(best.values())
 
 

@@ -95,6 +95,23 @@ def test_licence_templates_are_found(spark):
     assert labels == ["mit", "apache,gpl,mit", "cc-by-nc", "mit", "gpl", "gpl", ""]
 
 
+def spans_of(spark, texts, templates=None):
+    found = rows(licences.scan_licences(fixtures.table(spark, texts), templates))
+    return [[tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s] for r in found], [r["score"] for r in found]
+
+
+def test_every_copy_of_an_edited_notice_is_found(spark):
+    notice = [f"n{i}" for i in range(65)]
+    edited = " ".join([*notice[:25], "edit", *notice[25:45], "edit", *notice[45:]])
+    other = " ".join(f"z{i}" for i in range(40))
+    stray = " ".join(notice[:12])
+    pieces_ = " ".join(" ".join([*notice[i : i + 11], "edit"]) for i in range(0, 65, 11))
+    texts = [f"{edited} {other} {edited}", f"{edited} z {edited}", f"{stray} {other} {pieces_}", f"{' '.join(notice[50:62])} z {pieces_}", f"{stray} {other}"]
+    spans, score = spans_of(spark, texts, [("own", " ".join(notice))])
+    assert spans[:3] == [[(0, 67), (107, 174)], [(0, 67), (68, 135)], [(52, 122)]]
+    assert spans[3] == [(13, 83)] and spans[4] == [] and score == [1, 1, 1, 1, 0]
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(5)
     for _ in range(50):
