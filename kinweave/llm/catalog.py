@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import licences, linededup, minhash, mixing, ngramjoin, packing, pieces, pii, quality, toxicity
+from kinweave.llm import collocations, licences, linededup, merkle, minhash, mixing, ngramjoin, packing, pieces, pii, quality, simhash, toxicity
 from kinweave.llm.oracle import ORACLE  # noqa: F401
 from kinweave.llm.common import documents
 
@@ -38,4 +38,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": _on_documents(quality.quality_rules),
     "op9_pieces": _on_documents(pieces.piece_counts),
     "op10_fingerprints": _on_documents(minhash.fingerprints),
+    "op11_manifest": _on_documents(merkle.manifest),
+    "op12_collocations": _on_documents(collocations.collocations),
+    "op13_simhash": _on_documents(simhash.near_copies),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from kinweave.llm.collocations import CONTAINED, SCALE, THRESHOLD, TOP, UNKNOWN
 from kinweave.llm.linededup import MIN_WORDS
+from kinweave.llm.merkle import FIELDS, TAMPERED
 from kinweave.llm.mixing import EXPONENT, SEED
 
 #: Every run of lines as text: a run is removed where an equal run of enough words stands earlier.
@@ -66,4 +68,97 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(c.rate, 6) AS mix_ra
 FROM copies c JOIN documents d ON d.doc_id = c.doc_id
 """
 
-ORACLE = {"op4_line_dedup": LINE_DEDUP, "op7_mixing": MIXING}
+
+
+def _leaf(n_chars: str) -> str:
+    values = [n_chars if name == "n_chars" else name for name in FIELDS]
+    parts = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: The checksum takes a byte at a time and eight shifts for each; trees grow a level a round.
+MANIFEST = f"""
+WITH RECURSIVE summed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+    )) AS crc FROM documents
+), leaves AS (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+        CASE WHEN crc % {TAMPERED} = 0 AND n_chars IS NOT NULL THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS held
+    FROM summed
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes AS (
+    SELECT lang, 0 AS level, pos, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), subroots AS (
+    SELECT lang, h, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+    SELECT 0 AS level, pos, n, h FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n
+), steps AS (
+    SELECT p.lang, p.pos, o.level AS step, (p.pos >> o.level) % 2 AS side, s.h
+    FROM placed p JOIN (SELECT DISTINCT lang, level, n FROM nodes WHERE n > 1) o ON o.lang IS NOT DISTINCT FROM p.lang
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = o.level AND s.pos = xor(p.pos >> o.level, 1)
+    UNION ALL
+    SELECT p.lang, p.pos, r.height + o.level, (r.pos >> o.level) % 2, s.h
+    FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) o ON true
+    LEFT JOIN upper s ON s.level = o.level AND s.pos = xor(r.pos >> o.level, 1)
+), proofs AS (
+    SELECT lang, pos, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof FROM steps GROUP BY lang, pos
+), folded AS (
+    SELECT lang, pos, 0 AS step, held AS h FROM placed
+    UNION ALL
+    SELECT f.lang, f.pos, f.step + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.side = 1 THEN s.h || f.h ELSE f.h || s.h END)
+    FROM folded f JOIN steps s ON s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos AND s.step = f.step
+), ends AS (SELECT lang, pos, max_by(h, step) AS h FROM folded GROUP BY lang, pos)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, coalesce(x.proof, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN upper t ON t.n = 1
+JOIN ends e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos
+LEFT JOIN proofs x ON x.lang IS NOT DISTINCT FROM p.lang AND x.pos = p.pos
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY 1),
+sized AS (SELECT lang, w, unnest(range(1, 5)) AS words FROM worded),
+grams AS (SELECT lang, words, w, unnest(range(1, len(w) - words + 2)) AS place FROM sized),
+counts AS (
+    SELECT lang, array_to_string(w[place:place + words - 1], ' ') AS phrase, words, count(*) AS f
+    FROM grams GROUP BY ALL HAVING count(*) >= {THRESHOLD}
+), cut AS (
+    SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k FROM counts WHERE words > 1
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ({SCALE}::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+    FROM cut c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+    SELECT lang, string_split(phrase, ' ') AS w, words, f, unnest(range(2, words)) AS size FROM counts WHERE words > 2
+), within AS (SELECT lang, w, f, size, unnest(range(1, words - size + 2)) AS place FROM longer),
+most AS (SELECT lang, array_to_string(w[place:place + size - 1], ' ') AS phrase, max(f) AS most FROM within GROUP BY 1, 2),
+ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+    FROM scored s LEFT JOIN most m ON m.lang = s.lang AND m.phrase = s.phrase
+    WHERE m.most IS NULL OR 100 * m.most < {CONTAINED} * s.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= {TOP}
+"""
+
+ORACLE = {
+    "op4_line_dedup": LINE_DEDUP,
+    "op7_mixing": MIXING,
+    "op11_manifest": MANIFEST,
+    "op12_collocations": COLLOCATIONS,
+}
