@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,6 +56,40 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: ArrowMap) -> ArrowMap:
+    """`run`, which at its end returns freed memory to the system.
+
+    Python workers are used again by later stages; what the allocators keep of an earlier
+    stage would come on top of what those need.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return tidied
+
+
+def bounded(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `limit` bytes of a column, or of one longer value."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(int(np.searchsorted(ends, before + limit, "right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Apply `work` to each record batch; it yields dicts of columns."""
     ship_code(df.sparkSession)
@@ -62,7 +100,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], s
             for columns in work(batch):
                 yield record_batch(columns, kind)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def record_batch(columns: dict, kind: pa.Schema) -> pa.RecordBatch:

@@ -1,21 +1,26 @@
 """Mixture-controlled packing: deficit round-robin over source queues into windows.
 
-Each source (or each of `OVERFLOW` shared queues for the sources beyond the `MAX_QUEUES`
-largest) is a queue of tokens. A window of `WINDOW` tokens takes from each queue its
-target share; what a queue could not be given in whole tokens, or gave too much, is its
-deficit and goes on to the next window.
+Each source (or each of `OVERFLOW` shared queues for the sources that are neither named in
+`targets` nor among the `MAX_QUEUES` largest) is a queue of tokens. Every token that is
+packed pays each queue its target share into its deficit. The queue with the largest
+deficit is served a run: the rest of its first document, or `RUN` tokens of a rest of
+2 * `RUN` or more. The run is taken from its deficit, which may fall below zero, and what
+is owed or ahead goes on to the next windows. So at every place a queue is ahead of its
+share by less than 2 * `RUN` tokens, and behind by less than that times
+1 + 1/2 + ... + 1/queues, the most that a queue waits when the largest deficit is served.
 
 The deficits cross partitions without a serial pass. Windows are grouped into shards of
 `SHARD_WINDOWS` windows. How much of a queue lies before a shard is a closed formula,
 floor(share * tokens so far), whose fraction is the deficit that the shard begins with;
 so every shard knows its slice of every queue from one number per queue. A document's
-place in its queue is a sum of per-task totals and its place in the task. Documents are
-cut at shard borders, shuffled once to their shards and packed there, a shard at a time.
+place in its queue is a sum of per-source and per-task totals and its place in the task.
+Documents are cut at shard borders, shuffled once to their shards and packed there, a
+shard at a time; windows are cut from the runs as they come, so all are full.
 
 When a queue of a given mixture runs dry, the others go on in their proportions, in
-phases. Without given targets the mixture is that of the corpus, which every window can
-keep to the end. A shard's last tokens, less than a window, are cut into powers of two,
-so nothing is padded.
+phases. Without given targets the mixture is that of the corpus, which can be kept to the
+end. A shard's last tokens, less than a window, are cut into powers of two, so nothing is
+padded.
 
 Tokens are the ids of a public byte-level vocabulary, with id 0 behind each document. The
 ids are those that `tokenizers` gives for byte_bpe_50k.json by default: the string of its
@@ -42,9 +47,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import record_batch, ship_code, stored
+from kinweave.llm.common import bounded, record_batch, ship_code, stored, tidy
 
-WINDOW, SHARD_WINDOWS = 1024, 1024
+WINDOW, SHARD_WINDOWS, RUN = 1024, 1024, 512
 MAX_QUEUES, OVERFLOW = 1000, 64
 #: The vocabulary of byte_bpe_50k.json as ranks; ids are equal, reading is faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -116,8 +121,7 @@ def tokenise(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         so_far: dict[str | None, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in bounded(batch, "text"):
                 source = part.column("source").to_pylist()
                 ids = [document_ids(text.as_py()) for text in part.column("text")]
                 before = []
@@ -133,7 +137,7 @@ def tokenise(docs: DataFrame) -> DataFrame:
                 )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return plain.mapInArrow(run, TOKENS)
+    return plain.mapInArrow(tidy(run), TOKENS)
 
 
 class Schedule:
@@ -193,64 +197,74 @@ def pack_shard(pieces: list[list[tuple]], shares: np.ndarray, first_window: int)
 
     Takes per queue (doc_id, start, doc_tokens, ids) in order and gives result rows.
     """
-    left = np.array([sum(len(p[3]) for p in queue) for queue in pieces])
     deficit = np.zeros(len(pieces))
     at = [[0, 0] for _ in pieces]
-    sequence = first_window
-
-    def take(queue: int, n: int, offset: int) -> Iterator[tuple]:
-        while n:
-            index, used = at[queue]
-            doc_id, start, doc_tokens, ids = pieces[queue][index]
-            got = min(n, len(ids) - used)
+    rest = sum(len(piece[3]) for queue in pieces for piece in queue)
+    sequence, offset, room = first_window, 0, _room(rest)
+    while rest:
+        queue = int(np.argmax(deficit))
+        index, used = at[queue]
+        doc_id, start, doc_tokens, ids = pieces[queue][index]
+        run = len(ids) - used
+        run = RUN if run >= 2 * RUN else run
+        deficit += shares * run
+        deficit[queue] -= run
+        rest -= run
+        at[queue] = [index, used + run] if used + run < len(ids) else [index + 1, 0]
+        if at[queue][0] == len(pieces[queue]):
+            deficit[queue] = -np.inf  # it has given all of its slice
+        while run:
+            got = min(run, room - offset)
             data = ids[used : used + got].astype("<u4").tobytes()
             yield doc_id, start + used, got, zlib.crc32(data), doc_tokens, sequence, offset, queue
-            at[queue] = [index, used + got] if used + got < len(ids) else [index + 1, 0]
-            n, offset = n - got, offset + got
+            run, used, offset = run - got, used + got, offset + got
+            if offset == room:
+                sequence, offset, room = sequence + 1, 0, _room(rest + run)
 
-    rest = int(left.sum())
-    while rest:
-        room = WINDOW if rest >= WINDOW else 1 << (rest.bit_length() - 1)
-        live = left > 0
-        quantum = np.where(live, shares, 0)
-        quantum = quantum / quantum.sum() if quantum.sum() > 0 else live / live.sum()
-        deficit = np.where(live, deficit + quantum * room, 0)
-        grant = np.clip(np.floor(deficit), 0, left).astype(np.int64)
-        while (over := int(grant.sum()) - room) > 0:
-            queue = int(np.argmin(np.where(grant > 0, deficit - grant, np.inf)))
-            grant[queue] -= min(over, int(grant[queue]))
-        while (missing := room - int(grant.sum())) > 0:
-            # The largest deficit first; it may go below zero and pays in later windows.
-            queue = int(np.argmax(np.where(grant < left, deficit - grant, -np.inf)))
-            grant[queue] += min(max(1, int(deficit[queue] - grant[queue])), missing, int(left[queue] - grant[queue]))
-        offset = 0
-        for queue in np.flatnonzero(grant):
-            yield from take(int(queue), int(grant[queue]), offset)
-            offset += int(grant[queue])
-        deficit, left = deficit - grant, left - grant
-        rest -= room
-        sequence += 1
-
-
-def _queues(totals: DataFrame, targets: dict[str, float] | None) -> tuple[dict[str | None, int], list[float], int]:
-    """Queue numbers of the largest sources, weights, and the number of own queues."""
-    largest = totals.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(MAX_QUEUES).collect()
-    number = {row["source"]: place for place, row in enumerate(largest)}
-    weights = [float(row["tokens"]) if targets is None else float(targets.get(row["source"], 0.0)) for row in largest]
-    return number, weights, len(largest)
+
+def _room(rest: int) -> int:
+    """A window, or at the end of a shard the largest power of two that it still fills."""
+    return WINDOW if rest >= WINDOW else 1 << max(0, rest.bit_length() - 1)
+
+
+def _queues(totals: DataFrame, targets: dict[str, float] | None) -> tuple[dict[str | None, int], list[float]]:
+    """Queue numbers and weights of the sources in `targets` and of the largest others."""
+    by_source = totals.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    order = [F.desc("tokens"), "source"]
+    own = by_source.orderBy(*order).limit(MAX_QUEUES).collect()
+    if targets:
+        known = {row["source"] for row in own}
+        own += [row for row in by_source.filter(F.col("source").isin(list(targets))).orderBy(*order).collect() if row["source"] not in known]
+    number = {row["source"]: place for place, row in enumerate(own)}
+    return number, [float(row["tokens"]) if targets is None else float(targets.get(row["source"], 0.0)) for row in own]
+
+
+def _placed(totals: DataFrame, number: dict[str | None, int]) -> DataFrame:
+    """Adds each source's `queue` and `ahead`, the tokens of the queue before those of the task.
+
+    Sources follow each other in a queue; a window holds the tasks of one source or the
+    sources of one queue, a row each.
+    """
+    spark = totals.sparkSession
+    listed = spark.createDataFrame([(k, v) for k, v in number.items()], "name string, queue int")
+    shared = (F.pmod(F.xxhash64("source"), F.lit(OVERFLOW)) + len(number)).cast("int")
+    # At most MAX_QUEUES rows and the names in `targets`.
+    queued = totals.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("queue", F.coalesce("queue", shared))
+    sources = queued.groupBy(F.col("queue").alias("of_queue"), F.col("source").alias("name")).agg(F.sum("tokens").alias("tokens"))
+    before = "sum(tokens) OVER (PARTITION BY {} ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens"
+    sources = sources.select("of_queue", "name", F.expr(before.format("of_queue", "name")).alias("sources_ahead"))
+    tasks = queued.select("source", "task", "queue", "tokens", F.expr(before.format("queue, source", "task")).alias("tasks_ahead"))
+    both = tasks.join(sources, (F.col("queue") == F.col("of_queue")) & F.col("source").eqNullSafe(F.col("name")))
+    return both.select("source", "task", "queue", (F.col("sources_ahead") + F.col("tasks_ahead")).alias("ahead"), "tokens")
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """One row per piece of a document in a sequence; `targets` are shares by source."""
-    spark = docs.sparkSession
     tokens = stored(tokenise(docs), "packing-tokens")
     totals = stored(tokens.groupBy("source", "task").agg(F.sum("n_tokens").alias("tokens")), "packing-totals")
-    number, weights, own = _queues(totals, targets)
-    listed = spark.createDataFrame([(k, v) for k, v in number.items()], "name string, queue int")
-    shared = (F.pmod(F.xxhash64("source"), F.lit(OVERFLOW)) + own).cast("int")
-    queued = totals.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("queue", F.coalesce("queue", shared))
-    in_order = "sum(tokens) OVER (PARTITION BY queue ORDER BY task, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens"
-    offsets = stored(queued.withColumn("ahead", F.expr(in_order)).select("source", "task", "queue", "ahead", "tokens"), "packing-offsets")
+    number, weights = _queues(totals, targets)
+    own = len(number)
+    offsets = stored(_placed(totals, number), "packing-offsets")
     sizes = [0] * (own + OVERFLOW)
     for row in offsets.groupBy("queue").agg(F.sum("tokens").alias("n")).collect():
         sizes[row["queue"]] = row["n"]
@@ -262,9 +276,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     sharded_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (SHARDED, SCHEMA))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in bounded(batch, "ids")):
             rows: dict[str, list] = {name: [] for name in sharded_kind.names}
-            for doc_id, queue, place, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "place", "ids"))):
+            for doc_id, queue, place, ids in zip(*(part.column(c).to_pylist() for c in ("doc_id", "queue", "place", "ids"))):
                 n, used = len(ids) // 2, 0
                 while used < n:
                     shard = schedule.shard_of(queue, place + used)
@@ -288,9 +302,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
             columns["queue"] = [numbers[q] for q in columns["queue"]]
             return record_batch(columns, kind)
 
-        for batch in batches:
+        for part in (part for batch in batches for part in bounded(batch, "ids")):
             for number, queue, doc_id, start, doc_tokens, ids in zip(
-                *(batch.column(c).to_pylist() for c in ("shard", "queue", "doc_id", "start", "doc_tokens", "ids"))
+                *(part.column(c).to_pylist() for c in ("shard", "queue", "doc_id", "start", "doc_tokens", "ids"))
             ):
                 if number != shard:
                     if queues:
@@ -300,5 +314,5 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
         if queues:
             yield packed()
 
-    dealt = placed.mapInArrow(deal, SHARDED)
-    return dealt.repartition("shard").sortWithinPartitions("shard", "queue", "place").mapInArrow(run, SCHEMA)
+    dealt = placed.mapInArrow(tidy(deal), SHARDED)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "queue", "place").mapInArrow(tidy(run), SCHEMA)

@@ -1,8 +1,10 @@
 """Personal data: an Aho-Corasick pass finds anchors, local parsers expand and check them.
 
-One automaton holds at-signs, plus signs, digits, `://` and cues of identifiers, secrets
-and street addresses. Only around its hits do the parsers look at the text, so a text
-without anchors costs one linear pass. Each text is handled on its own, in code points.
+One automaton holds at-signs, plus signs, `://` and cues of identifiers, secrets and street
+addresses; runs of digits are anchors too. Only around them do the parsers look at the
+text, and what a parser has read as one value it doesn't read again from an anchor
+within, so the time is linear in the text, whatever it repeats. Each text is handled on
+its own, in code points.
 
 Base kinds (`email`, `ip`, `card`, `phone`) equal leftmost, non-overlapping matches of
 their patterns; a match that fails its check is dropped without a retry. Added kinds:
@@ -12,12 +14,16 @@ their patterns; a match that fails its check is dropped without a retry. Added k
 * `url`, `secret` (access keys and values after a cue), `iban` (whole groups that pass
   modulus 97, of the country's length or else the longest), `account` (digits after a cue), `address` (house number and street word).
 
+A url or secret that begins within another one's characters is part of that. `n_private`
+counts the spans of all kinds but urls.
+
 Null and empty texts have no spans. Rows, repeated or with a null id, stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,11 +57,14 @@ _LENGTHS = (
 IBAN_LENGTHS = {entry[:2]: int(entry[2:]) for entry in _LENGTHS.split()}
 
 
+_DIGIT_RUN = re.compile("[0-9]+")
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for sign in "@+0123456789":
-        machine.add_word(sign, ("digit" if sign in _DIGITS else sign, 1))
+    for sign in "@+":
+        machine.add_word(sign, (sign, 1))
     machine.add_word("://", ("url", 3))
     machine.add_word(ACCESS_KEY, ("access", len(ACCESS_KEY)))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("address", STREET_CUES)):
@@ -71,9 +80,9 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     hits: dict[str, list[tuple[int, int]]] = {}
     for last, (kind, length) in _automaton().iter(text):
         hits.setdefault(kind, []).append((last - length + 1, last + 1))
-    if not hits:
+    runs = [run.span() for run in _DIGIT_RUN.finditer(text)]
+    if not hits and not runs:
         return [], []
-    runs = _digit_runs([start for start, _ in hits.get("digit", [])])
     base = [(s, e, "email") for s, e in _emails(text, hits.get("@", []))]
     base += [(s, e, "ip") for s, e in _addresses(text, runs)]
     chains = _chains(text, runs)
@@ -96,16 +105,6 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     return sorted(base, key=key), sorted(set(added), key=key)
 
 
-def _digit_runs(at: list[int]) -> list[tuple[int, int]]:
-    runs: list[tuple[int, int]] = []
-    for place in at:
-        if runs and runs[-1][1] == place:
-            runs[-1] = runs[-1][0], place + 1
-        else:
-            runs.append((place, place + 1))
-    return runs
-
-
 def _right(text: str, at: int, allowed: frozenset) -> int:
     while at < len(text) and text[at] in allowed:
         at += 1
@@ -193,8 +192,12 @@ def _shorter_phone(text: str, start: int, end: int) -> int | None:
 
 
 def _urls(text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    read = 0
     for at, after in hits:
-        start, end = _left(text, at, _LETTERS), _right(text, after, _URL)
+        if at < read:
+            continue
+        start, end = _left(text, at, _LETTERS, read), _right(text, after, _URL)
+        read = end
         while end > after and text[end - 1] in ".,;:!?)'":
             end -= 1
         if start < at and end > after:
@@ -203,15 +206,20 @@ def _urls(text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 def _secrets(text: str, access: list[tuple[int, int]], cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for start, after in access:
+        if start and text[start - 1] in _UPPER:
+            continue
         end = _right(text, after, _UPPER)
-        if end - after == 16 and (start == 0 or text[start - 1] not in _UPPER):
+        if end - after == 16:
             yield start, end
-    for _, after in cues:
+    read = 0
+    for start, after in cues:
+        if start < read:
+            continue
         at = _right(text, after, frozenset(" "))
         if at >= len(text) or text[at] not in "=:":
             continue
         at = _right(text, at + 1, frozenset(" \"'"))
-        end = _right(text, at, _VALUE)
+        read = end = _right(text, at, _VALUE)
         if end - at >= 8:
             yield at, end
 
@@ -273,7 +281,7 @@ def _joined(found: list[tuple[int, int, str]]) -> str:
 
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "spans string, n_added long"
+    "spans string, n_added long, n_private long"
 )
 
 
@@ -281,7 +289,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: base counts and their digest, all spans, added spans."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        rows: dict[str, list] = {name: [] for name in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+        rows: dict[str, list] = {name: [] for name in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_private")}
         for text in batch.column("text"):
             base, added = spans(text.as_py() or "")
             for kind in KINDS[:4]:
@@ -290,6 +298,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             both = sorted({*base, *added}, key=lambda x: (x[0], _RANK[x[2]], x[1]))
             rows["spans"].append(_joined(both))
             rows["n_added"].append(len(both) - len(base))
+            rows["n_private"].append(sum(found[2] != "url" for found in both))
         yield {"doc_id": batch.column("doc_id"), **rows}
 
     return arrow_map(id_and_text(docs), work, SCHEMA)

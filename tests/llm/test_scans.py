@@ -1,6 +1,7 @@
 """Personal data, licences, quality rules and word pieces against plain definitions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,22 @@ def test_iban_before_other_words(iban, after):
     assert (5, 5 + len(iban), "iban") in pii.spans(text)[1]
 
 
+@pytest.mark.parametrize(
+    "anchor", ["a://", "http://a.b/", "token=", "password: ", "AKIA", "a@", "a@b.c", "+1", "1 ", "1.", "12-", " Street", "1 A Street", "account ", "DE12", "account 1"]
+)
+def test_long_texts_of_one_anchor_take_linear_time(anchor):
+    text = anchor * (1_000_000 // len(anchor))
+    start = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - start < 8
+
+
+def test_values_within_a_value_are_part_of_it():
+    text = "see http://a.b/?to=http://c.d/e, then token=abcd1234token=efgh5678"
+    found = [(text[s:e], kind) for s, e, kind in pii.spans(text)[1]]
+    assert found == [("http://a.b/?to=http://c.d/e", "url"), ("abcd1234token=efgh5678", "secret")]
+
+
 def test_iban_of_country_length_or_longest():
     assert not [s for s in pii.spans("DE88370400440532013000 Bitte")[1] if s[2] == "iban"]
     digits = "89370400440532013000"
