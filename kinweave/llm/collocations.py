@@ -16,6 +16,8 @@ The second pass counts the survivors exactly, by their words. A filter of fixed
 (`FILTER_BITS`) tells tasks which n-grams these are; one let through by chance is counted
 like the others and falls below the threshold, if it is below.
 
+Counts travel by hash partition too, a packed row for each.
+
 Scores, the weakest cuts, longer phrases that hold shorter ones and the best of each
 language are joins and aggregates of the counted phrases.
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import record_batch, ship_code, stored
+from kinweave.llm.common import record_batch, ship_code, stored, tidy
 from kinweave.llm.words import LOWER, Texts, byte_class, mix, slices
 
 LONGEST, THRESHOLD = 4, 30
@@ -49,17 +51,20 @@ _INSIDE = ~(_ENDS_PIECE | byte_class([(0x20, 0x20), (0x09, 0x09)]))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: N-grams that a task of the first pass holds before it sends them.
-HELD = 3 << 20
+HELD = 2 << 20
 #: Bits of a hash within its partition.
 _LOW = 32
 #: Bits of the filter (16 MB) and how many of them each n-gram sets.
 FILTER_BITS, FILTER_HASHES = 27, 4
 _SALTS = np.arange(1, FILTER_HASHES // 2 + 1, dtype=np.uint64) * _BASE
+#: Bytes of text that are read at once.
+SLICE = 1 << 20
 #: Phrases that a task of the second pass counts before it sends them.
 COUNTED = 400_000
 
 DEALT = "part long, kind int, mass long, entries binary"
-COUNTS = "lang string, phrase string, words int, n long"
+PACKED = "part long, lang string, n int, entries binary"
+COUNTS = "lang string, phrase string, words int, f long"
 
 
 class Grams:
@@ -179,7 +184,7 @@ def survivors(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGES
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for batch in batches:
-            for rows, part in slices(batch):
+            for rows, part in slices(batch, limit=SLICE):
                 name = placed(Grams(part, _langs(rows), longest).value, n_parts)
                 held.append(summed(name, np.ones(len(name), np.int64)))
                 n += len(held[-1][0])
@@ -212,8 +217,8 @@ def survivors(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGES
         if summary is not None:
             yield kept()
 
-    dealt = docs.mapInArrow(run, DEALT).repartition("part").sortWithinPartitions("part", "kind")
-    return dealt.mapInArrow(merge, "name long")
+    dealt = docs.mapInArrow(tidy(run), DEALT).repartition("part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(tidy(merge), "name long")
 
 
 def filter_places(name: np.ndarray) -> list[np.ndarray]:
@@ -255,8 +260,9 @@ class Counter:
     """Exact counts of phrases, as many as fit, then sent on."""
 
     def __init__(self) -> None:
-        self.value, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.names: dict[int, tuple[str, str, int]] = {}
+        self.value, self.count, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.phrases: list[str] = []
+        self.langs: list[str] = []
 
     def add(self, grams: Grams, hit: np.ndarray, langs: list[str]) -> None:
         value, first, count = np.unique(grams.value[hit], return_index=True, return_counts=True)
@@ -266,48 +272,84 @@ class Counter:
         known[inside] = self.value[at[inside]] == value[inside]
         self.count[at[known]] += count[known]
         new = np.flatnonzero(~known)
-        for k in new.tolist():
-            i = int(hit[first[k]])
-            self.names[int(value[k])] = (langs[grams.text[grams.first[i]]], grams.phrase(i), int(grams.length[i]))
+        place = np.arange(len(self.phrases), len(self.phrases) + len(new))
+        for i in hit[first[new]].tolist():
+            self.phrases.append(grams.phrase(i))
+            self.langs.append(langs[grams.text[grams.first[i]]])
         self.value = np.insert(self.value, at[new], value[new])
         self.count = np.insert(self.count, at[new], count[new])
+        self.place = np.insert(self.place, at[new], place)
+
+    def packed(self, n_parts: int) -> dict:
+        """A row for each hash partition and language: its phrases, in order, with their counts."""
+        part = (placed(self.value, n_parts) >> np.uint64(_LOW)).tolist()
+        count, groups = self.count.tolist(), {}
+        for k, place in enumerate(self.place.tolist()):
+            groups.setdefault((part[k], self.langs[place]), []).append((self.phrases[place], count[k]))
+        return _rows([(*key, sorted(found)) for key, found in groups.items()])
 
-    def rows(self) -> dict:
-        names = [self.names[value] for value in self.value.tolist()]
-        lang, phrase, words = zip(*names) if names else ((), (), ())
-        return {"lang": list(lang), "phrase": list(phrase), "words": list(words), "n": self.count}
 
+def _rows(found: list[tuple[int, str, list[tuple[str, int]]]]) -> dict:
+    packed = [zstandard.compress(_planes(np.array([n for _, n in some])) + "\n".join(p for p, _ in some).encode(), 3) for _, _, some in found]
+    return {"part": [f[0] for f in found], "lang": [f[1] for f in found], "n": [len(f[2]) for f in found], "entries": packed}
 
-def counted(docs: DataFrame, filled: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, words, n): parts of the counts of n-grams in the filter; words 0: all words."""
+
+def counted(docs: DataFrame, filled: np.ndarray, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, words, f): n-grams in the filter with `threshold` occurrences or more; words 0: all words.
+
+    Tasks send their counts to the hash partitions, a packed row for each; words have no
+    line ends, which stand between the phrases.
+    """
     spark = docs.sparkSession
     n_parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(filled)
-    kind = to_arrow_schema(StructType.fromDDL(COUNTS))
+    packed_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (PACKED, COUNTS))
+
+    def totals_of(totals: dict[str, int]) -> dict:
+        return _rows([(xxhash.xxh64_intdigest(name) % n_parts, name, [("", n)]) for name, n in totals.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, totals = Counter(), {}
         for batch in batches:
-            for rows, part in slices(batch):
+            for rows, part in slices(batch, limit=SLICE):
                 langs = _langs(rows)
                 grams = Grams(part, langs, longest)
                 for name, n in zip(langs, part.per_text(grams.text).tolist()):
                     totals[name] = totals.get(name, 0) + n
                 counter.add(grams, may_hold(sent.value, placed(grams.value, n_parts)), langs)
                 if len(counter.value) >= COUNTED:
-                    yield record_batch(counter.rows(), kind)
+                    yield record_batch(counter.packed(n_parts), packed_kind)
                     counter = Counter()
             if len(totals) > COUNTED:
-                yield record_batch(_totals(totals), kind)
+                yield record_batch(totals_of(totals), packed_kind)
                 totals = {}
-        yield record_batch(counter.rows(), kind)
-        yield record_batch(_totals(totals), kind)
+        yield record_batch(counter.packed(n_parts), packed_kind)
+        yield record_batch(totals_of(totals), packed_kind)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, counts = None, {}
 
-    return docs.mapInArrow(run, COUNTS)
+        def kept() -> pa.RecordBatch:
+            found = [(phrase, n) for phrase, n in counts.items() if not phrase or n >= threshold]
+            phrases = [phrase for phrase, _ in found]
+            words = [phrase.count(" ") + 1 if phrase else 0 for phrase in phrases]
+            return record_batch({"lang": [place[1]] * len(found), "phrase": phrases, "words": words, "f": [n for _, n in found]}, kind)
 
+        for batch in batches:
+            for i, (part, lang, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "n")))):
+                if (part, lang) != place:
+                    if counts:
+                        yield kept()
+                    place, counts = (part, lang), {}
+                data = zstandard.decompress(batch.column("entries")[i].as_py())
+                own = np.frombuffer(data, np.uint8, 4 * n).reshape(4, -1).T.copy().view("<u4")[:, 0].tolist()
+                for phrase, more in zip(data[4 * n :].decode().split("\n"), own):
+                    counts[phrase] = counts.get(phrase, 0) + more
+        if counts:
+            yield kept()
 
-def _totals(totals: dict[str, int]) -> dict:
-    return {"lang": list(totals), "phrase": [""] * len(totals), "words": [0] * len(totals), "n": list(totals.values())}
+    dealt = docs.mapInArrow(tidy(run), PACKED).repartition("part").sortWithinPartitions("part", "lang")
+    return dealt.mapInArrow(tidy(add_up), COUNTS)
 
 
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
@@ -316,9 +358,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     ship_code(docs.sparkSession)
     read = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     names = stored(survivors(read, threshold, longest), "phrases-survivors")
-    parts = counted(read, filter_of(names), longest)
-    whole = parts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-    return stored(whole.filter((F.col("words") == 0) | (F.col("f") >= threshold)), "phrases-counts")
+    return stored(counted(read, filter_of(names), threshold, longest), "phrases-counts")
 
 
 def scored(counts: DataFrame) -> DataFrame:

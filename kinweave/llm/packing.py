@@ -34,7 +34,7 @@ import base64
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -167,15 +167,18 @@ class Schedule:
         total = sum(self.sizes)
         self.n_shards = max(1, -(-total // self.shard_tokens))
 
+    def due(self, done: float) -> np.ndarray:
+        """Tokens that each queue is to have among the first `done`."""
+        phase = min(bisect_right(self.borders, done) - 1, len(self.shares) - 1)
+        if phase < 0:
+            return np.zeros(len(self.sizes))
+        return self.given[phase] + self.shares[phase] * (done - self.borders[phase])
+
     def before(self, shard: int) -> np.ndarray:
         """Tokens of each queue before a shard."""
         if shard >= self.n_shards:
             return np.array(self.sizes, np.int64)
-        done = float(shard) * self.shard_tokens
-        phase = min(bisect_right(self.borders, done) - 1, len(self.shares) - 1)
-        if phase < 0:
-            return np.zeros(len(self.sizes), np.int64)
-        given = self.given[phase] + self.shares[phase] * (done - self.borders[phase])
+        given = self.due(float(shard) * self.shard_tokens)
         return np.minimum(np.floor(given + 1e-6).astype(np.int64), self.sizes)
 
     def shard_of(self, queue: int, place: int) -> int:
@@ -192,12 +195,14 @@ class Schedule:
         return shard
 
 
-def pack_shard(pieces: list[list[tuple]], shares: np.ndarray, first_window: int) -> Iterator[tuple]:
+def pack_shard(pieces: list[list[tuple]], due: Callable[[int], np.ndarray], first_window: int) -> Iterator[tuple]:
     """Deficit round-robin over the queues of a shard.
 
-    Takes per queue (doc_id, start, doc_tokens, ids) in order and gives result rows.
+    Takes per queue (doc_id, start, doc_tokens, ids) in order and gives result rows. `due`
+    tells how many tokens each queue is to have among the shard's first n; the deficit is
+    what it hasn't yet had of them.
     """
-    deficit = np.zeros(len(pieces))
+    served, deficit, done = np.zeros(len(pieces)), np.zeros(len(pieces)), 0
     at = [[0, 0] for _ in pieces]
     rest = sum(len(piece[3]) for queue in pieces for piece in queue)
     sequence, offset, room = first_window, 0, _room(rest)
@@ -207,12 +212,11 @@ def pack_shard(pieces: list[list[tuple]], shares: np.ndarray, first_window: int)
         doc_id, start, doc_tokens, ids = pieces[queue][index]
         run = len(ids) - used
         run = RUN if run >= 2 * RUN else run
-        deficit += shares * run
-        deficit[queue] -= run
-        rest -= run
+        rest, done = rest - run, done + run
         at[queue] = [index, used + run] if used + run < len(ids) else [index + 1, 0]
-        if at[queue][0] == len(pieces[queue]):
-            deficit[queue] = -np.inf  # it has given all of its slice
+        # A queue that has given all of its slice waits for ever.
+        served[queue] = served[queue] + run if at[queue][0] < len(pieces[queue]) else np.inf
+        deficit = due(done) - served
         while run:
             got = min(run, room - offset)
             data = ids[used : used + got].astype("<u4").tobytes()
@@ -294,10 +298,10 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             numbers = sorted(queues)
-            taken = schedule.before(shard + 1) - schedule.before(shard)
-            shares = taken[numbers] / taken.sum()
+            begun = schedule.before(shard)
             # Sequence ids leave room for what floors add to a shard and its closing powers of two.
-            found = list(pack_shard([queues[q] for q in numbers], shares, shard * (2 * SHARD_WINDOWS + 64)))
+            ahead = int(begun.sum())
+            found = list(pack_shard([queues[q] for q in numbers], lambda n: (schedule.due(ahead + n) - begun)[numbers], shard * (2 * SHARD_WINDOWS + 64)))
             columns = {name: [row[i] for row in found] for i, name in enumerate(kind.names)}
             columns["queue"] = [numbers[q] for q in columns["queue"]]
             return record_batch(columns, kind)

@@ -91,7 +91,7 @@ def plain_packer(queues, shares):
         if run == left:
             waiting[queue].pop(0)
         deficit = [d + share * run for d, share in zip(deficit, shares)]
-        deficit[queue] -= run
+        deficit[queue] -= run  # queues that have ended are out of `live`
     return out
 
 
@@ -105,7 +105,7 @@ def test_shards_equal_a_plain_packer():
             queues.append([(number + i, n) for i, n in enumerate(sizes)])
             pieces.append([(number + i, 0, n, np.arange(n).astype(np.uint16)) for i, n in enumerate(sizes)])
             number += len(sizes)
-        got = list(packing.pack_shard(pieces, np.array([float(s) for s in shares]), 7))
+        got = list(packing.pack_shard(pieces, lambda n: n * np.array([float(s) for s in shares]), 7))
         runs, tokens = plain_packer(queues, shares), []
         for doc, start, n in runs:
             tokens += [(doc, start + i) for i in range(n)]
