@@ -239,7 +239,7 @@ def filter_of(names: DataFrame) -> np.ndarray:
             places = filter_places(batch.column("name").to_numpy().view(np.uint64))
             yield record_batch({"place": np.concatenate(places).view(np.int64)}, kind)
 
-    maps = names.mapInArrow(run, "place long").groupBy(F.shiftright("place", 15).alias("bucket"))
+    maps = names.mapInArrow(tidy(run), "place long").groupBy(F.shiftright("place", 15).alias("bucket"))
     maps = maps.agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
     filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for bucket, bits in maps.toLocalIterator():

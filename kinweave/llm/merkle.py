@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import record_batch, ship_code, stored
+from kinweave.llm.common import record_batch, ship_code, stored, tidy
 
 HEIGHT = 10
 BLOCK = 1 << HEIGHT
@@ -154,7 +154,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, "grp", *order).sortWithinPartitions("grp", *order)
-    placed = stored(ranged.mapInArrow(count, schema), "merkle-placed")
+    placed = stored(ranged.mapInArrow(tidy(count), schema), "merkle-placed")
     counts = placed.groupBy("grp", "part").agg(F.count("*").alias("rows"))
     whole, before = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("grp", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift"), F.sum("rows").over(whole).alias("n"))
@@ -199,7 +199,7 @@ def append_blocks(nodes: DataFrame) -> DataFrame:
             yield appended()
 
     dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
-    return stored(dealt.mapInArrow(run, BLOCKS), "merkle-blocks")
+    return stored(dealt.mapInArrow(tidy(run), BLOCKS), "merkle-blocks")
 
 
 def ends(blocks: DataFrame, languages: bool) -> DataFrame:
@@ -257,4 +257,4 @@ def manifest(docs: DataFrame) -> DataFrame:
                     kind,
                 )
 
-    return whole.mapInArrow(run, SCHEMA)
+    return whole.mapInArrow(tidy(run), SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import id_and_text, record_batch, ship_code, stored
+from kinweave.llm.common import id_and_text, record_batch, ship_code, stored, tidy
 from kinweave.llm.similarity import link_sets, set_table, sets
 from kinweave.llm.words import SLICE_BYTES, mix, texts
 
@@ -201,8 +201,8 @@ def _edited(docs: DataFrame) -> DataFrame:
                     yield record_batch(_compared(rows), kind)
                     rows, held = rows[-1:], len(text)
 
-    dealt = ordered.mapInArrow(deal, DEALT)
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "guest", "rank", "hash").mapInArrow(run, KEYED)
+    dealt = ordered.mapInArrow(tidy(deal), DEALT)
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "guest", "rank", "hash").mapInArrow(tidy(run), KEYED)
 
 
 def _compared(rows: list[tuple[int | None, str]]) -> dict:

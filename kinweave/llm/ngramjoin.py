@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructType
 
-from kinweave.llm.common import record_batch, ship_code, stored
+from kinweave.llm.common import record_batch, ship_code, stored, tidy
 from kinweave.llm.similarity import Signatures, filter_bits, link_sets, may_hold, set_table, sets
 from kinweave.llm.words import mix, slices
 
@@ -153,4 +153,4 @@ def _with_keys(docs: DataFrame, size: int, filled) -> DataFrame:
                 columns = {name: rows.column(i) for i, name in enumerate(kind.names[:-2])}
                 yield record_batch({**columns, "jj_key": key, "jj_maybe": (count > 0) & may_hold(filled.value, key)}, kind)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

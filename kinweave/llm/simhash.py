@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored
+from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored, tidy
 from kinweave.llm.components import components
 from kinweave.llm.words import LOWER, Texts, mix, slices
 
@@ -197,8 +197,8 @@ def links(state: DataFrame, shared: int, small: int = SMALL, large: int = LARGE)
         if held:
             yield record_batch(_meet(np.frombuffer(b"".join(held), _ENTRY), mask, small, large), kind)
 
-    dealt = state.mapInArrow(deal, "part long, entries binary").repartition("part").sortWithinPartitions("part")
-    found = stored(dealt.mapInArrow(run, LINKS), "simhash-links")
+    dealt = state.mapInArrow(tidy(deal), "part long, entries binary").repartition("part").sortWithinPartitions("part")
+    found = stored(dealt.mapInArrow(tidy(run), LINKS), "simhash-links")
     return found.filter("list is null").select("a", "b").union(_in_tiles(found.filter("list is not null"), large)).distinct()
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, id_and_text, ship_code, stored
+from kinweave.llm.common import arrow_map, id_and_text, ship_code, stored, tidy
 from kinweave.llm.components import components
 from kinweave.llm.words import LOWER, NOT_SPACE, Texts, distinct, mix, shingles, slices
 
@@ -167,7 +167,7 @@ def links_in_clusters(docs: DataFrame, size: int, clusters: DataFrame, percent:
         if len(held) > 1:
             yield _links(held, tile[1] == tile[2], percent)
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(tidy(run), "a long, b long")
 
 
 def _links(held: dict[int, tuple[bool, np.ndarray]], one_block: bool, percent: int) -> pa.RecordBatch:
@@ -250,7 +250,7 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, round_: int
         if held:
             yield pa.RecordBatch.from_pydict(deal(*map(np.concatenate, zip(*held))), kind)
 
-    dealt = id_and_text(docs).mapInArrow(run, "part long, entries binary")
+    dealt = id_and_text(docs).mapInArrow(tidy(run), "part long, entries binary")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
 
     def meet(part: int, entries: list[bytes]) -> pa.RecordBatch:
@@ -280,7 +280,7 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, round_: int
         if entries:
             yield meet(part, entries)
 
-    return dealt.mapInArrow(reduce, "bucket long, tag long")
+    return dealt.mapInArrow(tidy(reduce), "bucket long, tag long")
 
 
 def tag_column() -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored
+from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored, tidy
 from kinweave.llm.words import ALNUM, LOWER, Texts, slices
 
 EXAMPLES, TERMS, MIN_CHI2, MIN_DOCS = 20_000, 4_096, 30.0, 4
@@ -258,7 +258,7 @@ def inverse_frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
         held = np.flatnonzero(seen)
         yield record_batch({"term": np.append(held, -1), "n": np.append(seen[held], rows)}, kind)
 
-    found = id_and_text(docs).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = id_and_text(docs).mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     count = {r["term"]: r["n"] for r in found}
     df = np.array([count.get(t, 0) for t in range(len(terms.hashes))], float)
     return np.log(1 + count.get(-1, 0) / np.maximum(df, 1))
@@ -279,7 +279,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
                 columns = {name: rows.column(i) for i, name in enumerate(kind.names[:-2])}
                 yield record_batch({**columns, "toxic_score": score, "toxic_evidence": evidence}, kind)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
