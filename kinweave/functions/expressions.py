@@ -42,31 +42,62 @@ def format_users(users: Column) -> Column:
     )
 
 
+#: Steps of the continued fraction, whatever the degrees of freedom, and the least divisor in it.
+STEPS, TINY = 300, 1e-300
+
+
 def two_sided_p(t: Column, freedom: Column) -> Column:
-    """Two-sided p-value of a t statistic with an integer number of degrees of freedom.
+    """Two-sided p-value of a t statistic: the incomplete beta function at x = n / (n + t^2).
 
-    The finite trigonometric series for the central probability of Student's t
-    (Abramowitz and Stegun 26.7.3 and 26.7.4), with theta = atan(|t| / sqrt(freedom)).
+    I_x(n/2, 1/2) is a continued fraction, taken by Lentz's method for a fixed number of
+    steps, of x where that converges fast and of 1 - x, the complement, elsewhere; so
+    small values keep their digits.
     """
-    theta = F.atan2(F.abs(t), F.sqrt(freedom.cast("double")))
-    cos2 = F.pow(F.cos(theta), 2)
-    odd = freedom % 2 == 1
-    terms = F.floor((freedom - F.when(odd, 1).otherwise(0)) / 2).cast("int")
-    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
-
-    def add(acc: Column, j: Column) -> Column:
-        growth = F.when(odd, (2.0 * j - 2) / (2.0 * j - 1)).otherwise(
-            (2.0 * j - 3) / (2.0 * j - 2)
-        )
-        term = F.when(j == 1, first).otherwise(acc["term"] * cos2 * growth)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    indices = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(
-        F.array().cast("array<int>")
-    )
-    zero = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"))
-    series = F.aggregate(indices, zero, add)["total"]
-    central = F.when(odd, (theta + F.sin(theta) * series) * (2 / 3.141592653589793)).otherwise(
-        F.sin(theta) * series
-    )
-    return F.greatest(F.lit(0.0), 1.0 - central)
+    n, square = freedom.cast("double"), t * t
+    x, rest = n / (n + square), square / (n + square)
+    a, half = n / 2, F.lit(0.5)
+    front = F.exp(a * F.log(x) + 0.5 * F.log(rest) - _log_beta_half(a))
+    direct = x < (a + 1) / (a + 2.5)
+    small = front * _beta_fraction(a, half, x) / a
+    large = 1 - front * _beta_fraction(half, a, rest) / 0.5
+    return F.when(square == 0, 1.0).when(x == 0, 0.0).otherwise(F.when(direct, small).otherwise(F.greatest(F.lit(0.0), large)))
+
+
+def _log_beta_half(a: Column) -> Column:
+    """log B(a, 1/2)."""
+    return _log_gamma(a) + 0.5723649429247001 - _log_gamma(a + 0.5)  # half the logarithm of pi
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 8, brought back by the product of the eight factors."""
+    product = x
+    for step in range(1, 8):
+        product = product * (x + step)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)  # half the logarithm of 2 pi
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    def away(value: Column) -> Column:
+        return F.when(F.abs(value) < TINY, TINY).otherwise(value)
+
+    def turn(c: Column, d: Column, h: Column, part: Column) -> tuple[Column, Column, Column]:
+        d, c = 1 / away(1 + part * d), away(1 + part / c)
+        return c, d, h * c * d
+
+    def step(state: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        c, d, h = turn(state["c"], state["d"], state["h"], even)
+        half_way = F.array(_named(c, d, h))
+        whole = F.transform(half_way, lambda s: _named(*turn(s["c"], s["d"], s["h"], odd)))
+        return F.element_at(whole, 1)
+
+    first = 1 / away(1 - (a + b) * x / (a + 1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), _named(F.lit(1.0), first, first), step)["h"]
+
+
+def _named(c: Column, d: Column, h: Column) -> Column:
+    return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))

@@ -7,6 +7,7 @@ integer), ``average_efficiency``, ``a_wins_count`` and ``b_wins_count``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def _placed(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return positions(known, keys, "seq", alias="place").withColumn("place", F.col("place") - 1)
 
 
+def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of their group; null keys are equal to each other."""
+    found = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(found, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def _shape(y: Column) -> list[Column]:
     return [
         F.coalesce(F.try_divide(F.stddev_pop(y), F.avg(y)), F.lit(0.0)).alias("volatility"),
@@ -97,9 +105,7 @@ def trend_halves(history: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -
     y = F.col("average_efficiency")
     placed = _placed(history, keys)
     sizes = placed.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    halved = (
-        placed.join(sizes, list(keys)) if keys else placed.withColumn("half", sizes.scalar())
-    )
+    halved = _beside(placed, sizes, keys) if keys else placed.withColumn("half", sizes.scalar())
     early = F.col("place") < F.col("half")
     means = halved.groupBy(*keys).agg(
         F.avg(F.when(early, y)).alias("first_half"),
@@ -161,10 +167,10 @@ def run_budget(
     """
     by = [*keys, "query"]
     sized = ratios.where(F.col("size") == previous_size)
-    newest_seq = Window.partitionBy(*keys).orderBy(F.desc("seq"))
+    newest_seq = sized.groupBy(*keys).agg(F.max("seq").alias("_newest"))
+    at = _beside(sized, newest_seq, keys) if keys else sized.withColumn("_newest", newest_seq.scalar())
     last = (
-        sized.withColumn("_place", F.rank().over(newest_seq))
-        .where(F.col("_place") == 1)
+        at.where(F.col("seq") == F.col("_newest"))
         .groupBy(*by)
         .agg(
             F.max("efficiency_coefficient").alias("eff"),

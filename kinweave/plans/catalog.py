@@ -89,7 +89,7 @@ def experiment_ratios(runs: DataFrame) -> DataFrame:
 
 def sequence() -> F.Column:
     """Place of an experiment in its profile: by size, then by file."""
-    return F.col("size_idx").cast("long") * 1_000_000_000 + F.col("source")
+    return F.shiftleft(F.col("size_idx").cast("long"), 40) + F.col("source")
 
 
 def trials(runs: DataFrame) -> DataFrame:
@@ -196,6 +196,18 @@ def round_trip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(flat.drop("file", "file_time"), "t")
 
 
+def published_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratios and summaries of efficiency maps that were written as documents."""
+    ratios = experiment_ratios(supplied.runs(spark, sf_dir))
+    summaries = measurements.efficiency_summary(ratios, A, B, EXPERIMENT)
+    folder = scratch_path(spark, "efficiency")
+    results.write_documents(results.efficiency_documents(ratios, summaries, (A, B)), folder)
+    each, whole = results.efficiency_from_json(spark, folder, (A, B), pattern="part-*", multi_line=False)
+    shown = ["profile", "size", "query", "efficiency_coefficient", "improvement_percentage", "a_time_ms", "b_time_ms", "significance"]
+    named = whole.select("profile", "size", F.lit(results.SUMMARY).alias("query"), F.col("average_efficiency").alias("efficiency_coefficient"), F.col("overall_winner").alias("significance"))
+    return each.select(*shown).unionByName(named, allowMissingColumns=True)
+
+
 def round_trip_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "users")
     tabular.write_csv(supplied.users(spark, sf_dir), folder)
@@ -273,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "efficiency_summary": on_runs(
         lambda r: measurements.efficiency_summary(experiment_ratios(r), A, B, EXPERIMENT)
     ),
+    "efficiency_from_json": published_ratios,
     "efficiency_by_class": on_runs(classes),
     "fastest_queries": on_runs(lambda r: measurements.fastest_queries(pooled_ratios(r), A, B)),
     "engine_ratio": on_runs(lambda r: measurements.engine_ratio(measurements.run_stats(r), A, B)),

@@ -169,7 +169,7 @@ VIEWS = {
                 AS DECIMAL(30, 9)), 1) AS DECIMAL(30, 1)) || '%' AS performance_advantage
         FROM ratios GROUP BY ALL""",
     "trials": """
-        SELECT e.*, CAST(size_idx AS BIGINT) * 1000000000 + source AS seq,
+        SELECT e.*, (CAST(size_idx AS BIGINT) << 40) + source AS seq,
             CASE WHEN average_efficiency IS NULL THEN 'load_failed' ELSE 'completed' END AS status,
             average_efficiency, overall_winner, a_wins_count, b_wins_count
         FROM (SELECT DISTINCT profile, size, size_idx, source FROM runs) e
@@ -464,6 +464,10 @@ BODIES = {
         FROM (SELECT DISTINCT size, engine, query, source FROM runs) GROUP BY size""",
     "efficiency": "SELECT * FROM ratios",
     "efficiency_summary": "SELECT * FROM summaries",
+    "efficiency_from_json": """
+        SELECT profile, size, query, efficiency_coefficient, improvement_percentage, a_time_ms, b_time_ms, significance FROM ratios
+        UNION ALL
+        SELECT profile, size, '_summary', average_efficiency, NULL, NULL, NULL, overall_winner FROM summaries""",
     "efficiency_by_class": f"""
         SELECT profile, size, size_idx, source,
             CASE WHEN query IN ('click', 'view') THEN 'graph' ELSE 'analytical' END AS class,

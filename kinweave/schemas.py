@@ -23,51 +23,6 @@ FRIENDSHIPS = T.StructType(
     ]
 )
 
-MEASURED_QUERY = T.StructType(
-    [
-        T.StructField("description", T.StringType()),
-        T.StructField("iterations", T.IntegerType()),
-        T.StructField("times", T.ArrayType(T.DoubleType())),
-        T.StructField("min_time", T.DoubleType()),
-        T.StructField("max_time", T.DoubleType()),
-        T.StructField("avg_time", T.DoubleType()),
-        T.StructField("std_time", T.DoubleType()),
-        T.StructField("results_count", T.IntegerType()),
-    ]
-)
-
-RESULT_METADATA = T.StructType(
-    [
-        T.StructField("dataset", T.StringType()),
-        T.StructField("docker_config", T.StringType()),
-        T.StructField("timestamp", T.DoubleType()),
-        T.StructField("users", T.LongType()),
-        T.StructField(
-            "dataset_size",
-            T.StructType(
-                [
-                    T.StructField("users_count", T.LongType()),
-                    T.StructField("friendships_count", T.LongType()),
-                    T.StructField("avg_friends_per_user", T.DoubleType()),
-                    T.StructField("source", T.StringType()),
-                ]
-            ),
-        ),
-    ]
-)
-
-CORRUPT = "_corrupt_record"
-
-
-def result_document(engines: tuple[str, ...]) -> T.StructType:
-    """One result file: a map from query to its measurements for each engine."""
-    measured = T.MapType(T.StringType(), MEASURED_QUERY)
-    return T.StructType(
-        [T.StructField(e, measured) for e in engines]
-        + [T.StructField("metadata", RESULT_METADATA), T.StructField(CORRUPT, T.StringType())]
-    )
-
-
 # The engine names used as keys in result documents.
 ENGINES = ("postgres", "neo4j")
 

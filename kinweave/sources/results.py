@@ -26,39 +26,70 @@ def _newest(spark: SparkSession, path: str, pattern: str, n: int) -> list[str]:
     return [row.path for row in newest.collect()]
 
 
+#: Why a document isn't read.
+NOT_JSON, NO_DATASET = "not_json", "no_dataset"
+
+
+def _opened(spark: SparkSession, path: str, newest: int, pattern: str, multi_line: bool) -> DataFrame:
+    """(file, file_time, doc, reason): each document as a VARIANT, without a schema of its own."""
+    paths: str | list[str] = _newest(spark, path, pattern, newest) if newest > 0 else path
+    if isinstance(paths, list) and not paths:
+        return spark.createDataFrame([], "file string, file_time timestamp, doc variant, reason string")
+    read = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=multi_line)
+    if not multi_line:
+        read = read.where(F.trim("value") != "")
+    doc = F.try_parse_json("value")
+    dataset = F.try_variant_get("doc", "$.metadata.dataset", "string")
+    return read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+        doc.alias("doc"),
+    ).withColumn("reason", F.when(F.col("doc").isNull(), NOT_JSON).when(dataset.isNull(), NO_DATASET))
+
+
 def read_documents(
     spark: SparkSession,
     path: str,
-    engines: Sequence[str] = schemas.ENGINES,
     newest: int = 0,
     pattern: str = "results_*.json",
     multi_line: bool = True,
 ) -> DataFrame:
-    """Readable documents below ``path`` with ``file`` and ``file_time``.
+    """(file, file_time, doc, profile, size, users_n): readable documents below ``path``.
 
-    ``newest=n`` takes the n newest files, 0 takes all. Broken files are skipped.
-    ``multi_line=False`` reads files with one document per line, which Spark splits.
+    ``newest=n`` takes the n newest files, 0 takes all. ``multi_line=False`` reads files
+    with one document per line, which Spark splits. Documents that aren't JSON or don't
+    name their dataset are in ``unreadable_documents``.
     """
-    paths: str | list[str] = _newest(spark, path, pattern, newest) if newest > 0 else path
-    raw = (
-        spark.read.schema(schemas.result_document(tuple(engines)))
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
-        .option("pathGlobFilter", pattern)
-        .json(paths)
-    )
-    return (
-        raw.select(
-            "*",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_modification_time").alias("file_time"),
-        )
-        .where(F.col(schemas.CORRUPT).isNull())
-        .drop(schemas.CORRUPT)
+
+    def field(name: str, kind: str):
+        return F.try_variant_get("doc", f"$.metadata.{name}", kind)
+
+    opened = _opened(spark, path, newest, pattern, multi_line).where(F.col("reason").isNull())
+    size = field("dataset", "string")
+    return opened.select(
+        "file",
+        "file_time",
+        "doc",
+        field("docker_config", "string").alias("profile"),
+        size.alias("size"),
+        F.coalesce(field("users", "long"), assumed_users(size)).alias("users_n"),
     )
 
 
+def unreadable_documents(
+    spark: SparkSession, path: str, newest: int = 0, pattern: str = "results_*.json", multi_line: bool = True
+) -> DataFrame:
+    """(file, file_time, reason): the documents that ``read_documents`` leaves out."""
+    opened = _opened(spark, path, newest, pattern, multi_line)
+    return opened.where(F.col("reason").isNotNull()).select("file", "file_time", "reason")
+
+
+def _entries(documents: DataFrame, place: str, *kept) -> DataFrame:
+    """One row (kept, name, entry) per member of the object at ``place``; what isn't an object has none."""
+    members = F.try_variant_get("doc", place, "map<string,variant>")
+    return documents.select(*kept, F.explode(members).alias("name", "entry"))
+
+
 def assumed_users(dataset) -> F.Column:
     known = F.when(F.lit(False), F.lit(0).cast("long"))
     for name, users in schemas.ASSUMED_USERS.items():
@@ -77,53 +108,83 @@ def runs_from_json(
     """The documents as one row per measurement.
 
     (file, file_time, profile, size, users_n, engine, query, results_count,
-    iteration, t). ``iteration`` numbers the stored times from 1. A query without any
-    time keeps one row with null ``iteration`` and ``t``.
+    iteration, t). ``iteration`` numbers the stored times from 1. An entry is an object
+    with ``times``, or with only a mean in ``avg_time``, which counts as one time, or a bare
+    list of times. An entry without any time keeps one row with null ``iteration`` and ``t``.
     """
-    documents = read_documents(spark, path, engines, newest, pattern, multi_line)
-    sides = [F.struct(F.lit(e).alias("engine"), F.col(e).alias("measured")) for e in engines]
-    dataset = F.col("metadata.dataset")
-    per_query = documents.select(
-        "file",
-        "file_time",
-        F.col("metadata.docker_config").alias("profile"),
-        dataset.alias("size"),
-        F.coalesce("metadata.users", assumed_users(dataset)).alias("users_n"),
-        F.inline(F.array(*sides)),
-    ).select(
-        "file",
-        "file_time",
-        "profile",
-        "size",
-        "users_n",
-        "engine",
-        F.explode("measured").alias("query", "m"),
-    )
-    times = F.filter("m.times", lambda t: t.isNotNull())
-    return per_query.select(
-        "file",
-        "file_time",
-        "profile",
-        "size",
-        "users_n",
-        "engine",
-        "query",
-        F.coalesce("m.results_count", F.lit(0)).alias("results_count"),
-        F.posexplode_outer(times).alias("place", "t"),
-    ).select(
-        "file",
-        "file_time",
-        "profile",
-        "size",
-        "users_n",
-        "engine",
-        "query",
-        "results_count",
-        (F.col("place") + 1).alias("iteration"),
-        "t",
+    documents = read_documents(spark, path, newest, pattern, multi_line)
+    kept = ["file", "file_time", "profile", "size", "users_n"]
+    engine = F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), F.try_variant_get("doc", f"$.{e}", "map<string,variant>").alias("measured")) for e in engines]))
+    sides = documents.select(*kept, engine.alias("side")).select(*kept, "side.engine", F.explode("side.measured").alias("query", "m"))
+    mean = F.try_variant_get("m", "$.avg_time", "double")
+    listed = F.coalesce(F.try_variant_get("m", "$.times", "array<double>"), F.try_variant_get("m", "$", "array<double>"))
+    stored = F.filter(listed, lambda t: t.isNotNull())
+    times = F.when(listed.isNull() & mean.isNotNull(), F.array(mean)).otherwise(stored)
+    count = F.coalesce(F.try_variant_get("m", "$.results_count", "int"), F.lit(0))
+    return sides.select(*kept, "engine", "query", count.alias("results_count"), F.posexplode_outer(times).alias("place", "t")).select(
+        *kept, "engine", "query", "results_count", (F.col("place") + 1).alias("iteration"), "t"
     )
 
 
+#: The member of an efficiency map that isn't a query; names that begin like it are reserved.
+SUMMARY = "_summary"
+#: Fields of a query's entry in a published map and of the summary, with a place for each engine's name.
+RATIO_FIELDS = {
+    "efficiency_coefficient": "double", "b_faster_times": "double", "improvement_percentage": "double", "{a}_time_ms": "double",
+    "{b}_time_ms": "double", "significance": "string",
+}
+SUMMARY_FIELDS = {
+    "average_efficiency": "double", "median_efficiency": "double", "max_efficiency": "double", "min_efficiency": "double",
+    "{a}_wins_count": "long", "{b}_wins_count": "long", "total_comparisons": "long", "overall_winner": "string", "performance_advantage": "string",
+}
+
+
+def _fields(fields: dict[str, str], engines: Sequence[str]) -> list:
+    """The members of ``entry`` as columns; engines' names become a and b."""
+    a, b = engines
+    return [
+        F.try_variant_get("entry", f"$.{name.format(a=a, b=b)}", kind).alias(name.format(a="a", b="b")) for name, kind in fields.items()
+    ]
+
+
+def efficiency_from_json(
+    spark: SparkSession,
+    path: str,
+    engines: Sequence[str] = schemas.ENGINES,
+    newest: int = 0,
+    pattern: str = "results_*.json",
+    multi_line: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """The published ratios of documents: those of each query, and the summaries.
+
+    Both begin with (file, file_time, profile, size, users_n). Members of the map that
+    begin with an underscore aren't queries; a document without the map has no rows.
+    """
+    kept = ["file", "file_time", "profile", "size", "users_n"]
+    members = _entries(read_documents(spark, path, newest, pattern, multi_line), "$.efficiency", *kept)
+    ratios = members.where(~F.col("name").startswith("_")).select(*kept, F.col("name").alias("query"), *_fields(RATIO_FIELDS, engines))
+    return ratios, members.where(F.col("name") == SUMMARY).select(*kept, *_fields(SUMMARY_FIELDS, engines))
+
+
+def efficiency_documents(ratios: DataFrame, summaries: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
+    """One row (document, size, json) per experiment: its efficiency map with the summary in it."""
+    a, b = engines
+    keys = [document, "size", "profile"]
+
+    def entry(fields: dict[str, str]):
+        return F.struct(*[F.col(name.format(a="a", b="b")).alias(name.format(a=a, b=b)) for name in fields])
+
+    entries = ratios.select(*keys, F.struct("query", F.to_json(entry(RATIO_FIELDS))).alias("member"))
+    whole = entries.unionByName(summaries.select(*keys, F.struct(F.lit(SUMMARY).alias("query"), F.to_json(entry(SUMMARY_FIELDS))).alias("member")))
+    # Members differ in their fields, so each is JSON text already.
+    quoted = F.concat(F.to_json(F.array("member.query")), F.lit(":"), F.col("member.col2"))
+    member = F.regexp_replace(quoted, r"^\[(.*?)\]:", "$1:")
+    folded = whole.select(*keys, member.alias("member")).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"))
+    metadata = F.to_json(F.struct(F.col("size").alias("dataset"), F.col("profile").alias("docker_config")))
+    body = F.concat(F.lit('{"efficiency":{'), "members", F.lit('},"metadata":'), metadata, F.lit("}"))
+    return folded.select(document, "size", body.alias("json"))
+
+
 def documents_of(runs: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
     """Flat measurements folded into documents: one row (document, size, json) per file and size.
 

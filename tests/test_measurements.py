@@ -128,3 +128,26 @@ def test_points_are_finite(spark):
         "engine string, query string, users_n long, mean_time double",
     )
     assert [r.users_n for r in m.points(means, "a", "b").collect()] == [0]
+
+
+def exact_p(t, n):
+    """Two-sided p for an even n, from the finite series in 60 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    square = Decimal(t) * Decimal(t)
+    cos2 = Decimal(n) / (Decimal(n) + square)
+    term = total = Decimal(1)
+    for j in range(1, n // 2):
+        term *= cos2 * (2 * j - 1) / (2 * j)
+        total += term
+    return float(1 - (1 - cos2).sqrt() * total)
+
+
+def test_p_values_keep_their_digits(spark):
+    cases = [(t, n) for t in (0.01, 0.5, 1.0, 2.0, 5.0, 12.0, 40.0) for n in (2, 4, 10, 38, 200, 5000)]
+    df = spark.createDataFrame(cases, "t double, n long")
+    for row in df.select("t", "n", two_sided_p(F.col("t"), F.col("n")).alias("p")).collect():
+        want = exact_p(row.t, row.n)
+        if want > 1e-45:
+            assert row.p == pytest.approx(want, rel=1e-6), (row.t, row.n)

@@ -131,6 +131,49 @@ def test_result_files_flatten(spark, folder):
     assert flat.where("query = 'empty' and t is null").count() == 2
 
 
+def test_every_form_of_an_entry_is_read(spark, tmp_path):
+    entries = {
+        "bare": [1.0, None, 2.5],
+        "mean": {"avg_time": 4.0},
+        "both": {"avg_time": 9.0, "times": [3.0], "results_count": 8},
+        "nothing": {"description": "x"},
+        "no_list": "text",
+        "empty": [],
+    }
+    text = json.dumps({"postgres": entries, "neo4j": [1, 2], "metadata": {"dataset": "tiny", "users": 5}})
+    write(tmp_path / "results_1.json", text)
+    write(tmp_path / "results_2.json", "[1, 2")
+    write(tmp_path / "results_3.json", '{"postgres": {}}')
+    write(tmp_path / "results_4.json", " ")
+    flat = results.runs_from_json(spark, str(tmp_path))
+    assert sorted(rows(flat.select("engine", "query", "results_count", "iteration", "t")), key=repr) == sorted(
+        [("postgres", "bare", 0, 1, 1.0), ("postgres", "bare", 0, 2, 2.5), ("postgres", "mean", 0, 1, 4.0), ("postgres", "both", 8, 1, 3.0)]
+        + [("postgres", name, 0, None, None) for name in ("nothing", "no_list", "empty")],
+        key=repr,
+    )
+    reasons = results.unreadable_documents(spark, str(tmp_path))
+    found = {r.file[-6:-5]: r.reason for r in reasons.collect()}
+    assert found == {"2": "not_json", "3": "no_dataset", "4": "not_json"}
+
+
+def test_efficiency_maps_with_reserved_names(spark, tmp_path):
+    efficiency = {
+        "simple_friends": {"efficiency_coefficient": 1.5, "postgres_time_ms": 3, "neo4j_time_ms": 2.0, "significance": "x"},
+        "cohort_analysis": {"efficiency_coefficient": 0.5},
+        "_summary": {"average_efficiency": 1.0, "postgres_wins_count": 1, "neo4j_wins_count": 1, "overall_winner": "postgres"},
+        "_other": {"efficiency_coefficient": 7.0},
+    }
+    write(tmp_path / "results_1.json", json.dumps({"efficiency": efficiency, "metadata": {"dataset": "tiny"}}, indent=1))
+    write(tmp_path / "results_2.json", json.dumps({"metadata": {"dataset": "tiny"}}))
+    each, whole = results.efficiency_from_json(spark, str(tmp_path))
+    assert sorted(rows(each.select("size", "query", "efficiency_coefficient", "a_time_ms", "b_time_ms", "significance"))) == [
+        ("tiny", "cohort_analysis", 0.5, None, None, None), ("tiny", "simple_friends", 1.5, 3.0, 2.0, "x"),
+    ]
+    summary = whole.first()
+    assert (summary.average_efficiency, summary.a_wins_count, summary.b_wins_count, summary.overall_winner) == (1.0, 1, 1, "postgres")
+    assert whole.count() == 1
+
+
 def test_newest_files_first_broken_ones_skipped(spark, folder):
     assert results.runs_from_json(spark, folder, newest=1).count() == 0
     newest = results.runs_from_json(spark, folder, newest=2)

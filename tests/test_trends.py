@@ -176,3 +176,12 @@ def test_comparison_and_size_summary(spark):
     got = {(r.profile, r["size"]): tuple(r)[2:] for r in trends.size_summary(df).collect()}
     assert got["poor", "tiny"] == (2, 2, 1.0, 1.0, 0.5, 1.5)
     assert got["poor", "small"] == (0, 1, None, None, None, None)
+
+
+def test_null_keys_are_a_group(spark):
+    rows_in = [(None, i, 1.0 + i, 1, 1) for i in range(6)] + [("p", i, 3.0, 1, 1) for i in range(3)]
+    schema = "profile string, seq long, average_efficiency double, a_wins_count long, b_wins_count long"
+    history = spark.createDataFrame(rows_in, schema)
+    halves = {r.profile: r for r in trends.trend_halves(history, "a", "b", ["profile"]).collect()}
+    assert set(halves) == {None, "p"}
+    assert (halves[None].slope, halves[None].data_points, halves["p"].slope) == (1.0, 6, 0.0)
