@@ -7,10 +7,12 @@ fingerprints' likeness is the share of equal bytes, less what chance makes equal
 without words has the empty fingerprint, like only itself.
 
 `near_copies` hashes bands of full values, joins the bands in Spark and checks every pair
-by its exact Jaccard similarity; `fingerprints` adds its classes to the rows of `edit_test`. `edit_test` holds each text against itself with its end
+by its exact Jaccard similarity. `edit_test` holds each text against itself with its end
 replaced by the next document's beginning: rows are dealt out in runs of the order, and
 the first row of each run is also sent to the run before it, so no row needs a second
-pass and no window holds the table. Texts travel compressed.
+pass and no window holds the table. Texts travel compressed. `fingerprints` adds the
+classes to the rows of `edit_test`: the class of a text that has near copies is sent, as a
+row of some bytes, to its place in the order, so finished rows aren't shuffled again.
 
 Null texts are empty ones. The order is by descending doc_id, then text hash, rows
 without an id last; repeated rows stand next to each other. A single row is its own next.
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinweave.llm.common import id_and_text, record_batch, ship_code, stored, tidy
+from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored, tidy
 from kinweave.llm.similarity import link_sets, set_table, sets
-from kinweave.llm.words import SLICE_BYTES, mix, texts
+from kinweave.llm.words import SLICE_BYTES, mix, slices, texts
 
 SHINGLE_WORDS, PERCENT = 5, 80
 PERMUTATIONS, BANDS = 128, 32
@@ -56,10 +58,10 @@ def least_values(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(column: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low bytes of the least values, number of distinct runs, key of their set)."""
-    _, value, count, key = sets(texts(pa.array(column, pa.large_string())), SHINGLE_WORDS)
-    return (least_values(value, count) & np.uint32(255)).astype(np.uint8), count, key
+def fingerprints_of(column: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(low bytes of the least values, number of distinct runs)."""
+    _, value, count, _ = sets(texts(pa.array(column, pa.large_string())), SHINGLE_WORDS)
+    return (least_values(value, count) & np.uint32(255)).astype(np.uint8), count
 
 
 def likeness(a: np.ndarray, full_a: np.ndarray, b: np.ndarray, full_b: np.ndarray) -> np.ndarray:
@@ -82,9 +84,9 @@ def bands(text: np.ndarray, item: np.ndarray, size: np.ndarray, round_: int = 0)
     return np.repeat(full, BANDS), signatures.ravel()
 
 
-def _rooted(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, root) of each row; rows of one group have the same root."""
-    table = stored(set_table(docs, size), "minhash-sets")
+def _rooted(docs: DataFrame, table: DataFrame, size: int, percent: int) -> DataFrame:
+    """`table`, which has the key of each text's set, with `root`: the same for the rows of one group."""
+    table = stored(table, "minhash-sets")
     found = link_sets(docs, table, size, percent, bands, rounds=1).withColumnRenamed("node", "key")
     return table.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
@@ -95,19 +97,20 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
     Pairs are found with the bands' probability (over 0.9999999 from a similarity of 0.8);
     no pair below `percent` is linked. Rows as in ngramjoin.jaccard_join.
     """
-    rooted = _rooted(docs, size, percent)
+    rooted = _rooted(docs, set_table(docs, size), size, percent)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
 
 
-DEALT = "chunk long, guest boolean, rank long, hash long, doc_id long, packed binary"
+DEALT = "chunk long, guest boolean, rank long, hash long, doc_id long, packed binary, class_id long"
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, n_shingles long"
+    "near_edited double, near_next double, n_shingles long, class_id long"
 )
-KEYED = f"{SCHEMA}, key long"
+#: Texts with near copies: place in the order of documents, and the least doc_id of the class.
+MARKS = "rank long, hash long, class_id long"
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -134,33 +137,40 @@ def _cuts(ordered: DataFrame) -> tuple[tuple[int, int] | None, list[tuple[int, i
     return begin, [cut for cut in sample[::_OVERSAMPLE] if cut > begin]
 
 
+def _placed_keys(ordered: DataFrame, size: int) -> DataFrame:
+    """(doc_id, rank, hash, key) of each row of `ordered`; no key for an empty set."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for rows, part in slices(batch):
+            _, _, count, key = sets(part, size)
+            yield {**{name: rows.column(name) for name in ("doc_id", "rank", "hash")}, "key": pa.array(key, mask=count == 0)}
+
+    return arrow_map(ordered, work, "doc_id long, rank long, hash long, key long")
+
+
 def edit_test(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: fingerprints of the text and its edited form, and likenesses."""
-    return _edited(docs).drop("key")
+    return _edited(_ordered(docs), docs.sparkSession.createDataFrame([], MARKS)).drop("class_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The rows of `edit_test` with `class_id`, the least doc_id of the text's near copies.
 
-    Rows meet their group by the key of their set, so repeated and null ids don't matter. A
-    text that is in no group is its own; texts without a key are spread by another hash.
+    Classes find their texts by place, which is doc_id and text, so repeated and null ids
+    don't matter. A text without near copies is its own class.
     """
-    rooted = _rooted(docs, SHINGLE_WORDS, PERCENT).filter("key is not null")
+    ordered = _ordered(docs)
+    rooted = _rooted(docs, _placed_keys(ordered, SHINGLE_WORDS), SHINGLE_WORDS, PERCENT).filter("key is not null")
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
-    grouped = rooted.select("key", "root").distinct().join(groups, "root")
-    grouped = stored(grouped.select(F.col("key").alias("meet"), F.lit(True).alias("keyed"), "class_id"), "minhash-groups")
-    rows = _edited(docs).withColumns({"keyed": F.col("key").isNotNull(), "meet": F.coalesce("key", F.xxhash64("doc_id", "edited_sha256"))})
-    met = rows.join(grouped.withColumn("grouped", F.lit(True)), ["meet", "keyed"], "left")
-    class_id = F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id"))
-    return met.select(*StructType.fromDDL(SCHEMA).names, class_id.alias("class_id"))
+    marks = rooted.join(groups, "root").select("rank", "hash", "class_id").distinct()
+    return _edited(ordered, stored(marks, "minhash-marks"))
 
 
-def _edited(docs: DataFrame) -> DataFrame:
-    """The rows of `edit_test` and the key of each text's set."""
-    ordered = _ordered(docs)
-    ship_code(docs.sparkSession)
+def _edited(ordered: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of `fingerprints` for classes given in `marks`."""
+    ship_code(ordered.sparkSession)
     first, cuts = _cuts(ordered)
-    dealt_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (DEALT, KEYED))
+    dealt_kind, kind = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (DEALT, SCHEMA))
     begins = set(cuts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,44 +187,65 @@ def _edited(docs: DataFrame) -> DataFrame:
                     "chunk": [*chunks, *(chunks[i] - 1 for i in guests), *(len(cuts) for _ in firsts)],
                     "guest": [i >= len(places) for i in range(len(rows))],
                     "packed": [packed[i] for i in rows],
+                    "class_id": pa.nulls(len(rows), pa.int64()),
                     **{name: batch.column(name).take(pa.array(rows, pa.int64())) for name in ("rank", "hash", "doc_id")},
                 },
                 dealt_kind,
             )
 
+    def deal_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            places = zip(batch.column("rank").to_pylist(), batch.column("hash").to_pylist())
+            yield record_batch(
+                {
+                    "chunk": [bisect_right(cuts, place) for place in places],
+                    "guest": [False] * n,
+                    "doc_id": pa.nulls(n, pa.int64()),
+                    "packed": pa.nulls(n, pa.binary()),
+                    **{name: batch.column(name) for name in ("rank", "hash", "class_id")},
+                },
+                dealt_kind,
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        rows: list[tuple[int | None, str]] = []
-        chunk, done, held = None, False, 0
+        rows: list[tuple[int | None, str, int | None]] = []
+        chunk, done, held, mark = None, False, 0, (None, None)
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("chunk", "guest", "doc_id", "packed"))
-            for number, guest, doc_id, packed in zip(*columns):
+            columns = (batch.column(name).to_pylist() for name in ("chunk", "guest", "rank", "hash", "doc_id", "packed", "class_id"))
+            for number, guest, rank, hash_, doc_id, packed, class_id in zip(*columns):
                 if number != chunk:
                     chunk, done, rows, held = number, False, [], 0
                 if done:
                     continue
+                if packed is None:
+                    mark = (rank, hash_), class_id
+                    continue
                 text = unpack.decompress(packed).decode()
-                rows.append((doc_id, text))
+                rows.append((doc_id, text, mark[1] if mark[0] == (rank, hash_) else doc_id))
                 held += len(text)
                 done = guest
                 if len(rows) > 1 and (guest or held >= SLICE_BYTES):
                     yield record_batch(_compared(rows), kind)
                     rows, held = rows[-1:], len(text)
 
-    dealt = ordered.mapInArrow(tidy(deal), DEALT)
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "guest", "rank", "hash").mapInArrow(tidy(run), KEYED)
+    dealt = ordered.mapInArrow(tidy(deal), DEALT).unionAll(marks.mapInArrow(tidy(deal_marks), DEALT))
+    # A mark stands before the texts of its place.
+    order = ["chunk", "guest", "rank", "hash", F.col("packed").isNotNull()]
+    return dealt.repartition("chunk").sortWithinPartitions(*order).mapInArrow(tidy(run), SCHEMA)
 
 
-def _compared(rows: list[tuple[int | None, str]]) -> dict:
+def _compared(rows: list[tuple[int | None, str, int | None]]) -> dict:
     """Results for all rows but the last, which is only the next of the one before it."""
-    own = [text for _, text in rows]
+    own = [text for _, text, _ in rows]
     edited = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for text, after in zip(own, own[1:])]
-    print_, count, key = fingerprints_of(own)
-    edited_print, edited_count, _ = fingerprints_of(edited)
+    print_, count = fingerprints_of(own)
+    edited_print, edited_count = fingerprints_of(edited)
     full, edited_full = count > 0, edited_count > 0
     n = len(edited)
     return {
-        "doc_id": [doc_id for doc_id, _ in rows[:-1]],
+        "doc_id": [doc_id for doc_id, _, _ in rows[:-1]],
         "n_chars": [len(text) for text in own[:-1]],
         "edited_sha256": [hashlib.sha256(text.encode()).hexdigest() for text in edited],
         "fingerprint": [p.tobytes().hex() if f else "" for p, f in zip(print_[:n], full[:n])],
@@ -222,5 +253,5 @@ def _compared(rows: list[tuple[int | None, str]]) -> dict:
         "near_edited": likeness(print_[:n], full[:n], edited_print, edited_full),
         "near_next": likeness(print_[:n], full[:n], print_[1:], full[1:]),
         "n_shingles": count[:n],
-        "key": pa.array(key[:n], mask=~full[:n]),
+        "class_id": [class_id for _, _, class_id in rows[:-1]],
     }
