@@ -46,15 +46,28 @@ _FACTOR = mix(_at * np.uint64(0x51ED2701)) | np.uint64(1)
 _TERM = mix(_at * np.uint64(0x7FEB352D))
 
 
+#: Set items that are hashed together, so that they stay in a core's cache for all functions.
+_BLOCK = 1 << 15
+
+
 def least_values(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     """For each text the least value of each hash function; rows of empty sets are 0."""
     out = np.zeros((len(count), PERMUTATIONS), np.uint32)
-    full = count > 0
-    starts = (np.cumsum(count) - count)[full]
-    if len(starts):
+    full = np.flatnonzero(count > 0)
+    ends = np.cumsum(count[full])
+    at = 0
+    while at < len(full):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(int(np.searchsorted(ends, before + _BLOCK, "right")), at + 1)
+        part = value[before : ends[stop - 1]]
+        starts = ends[at:stop] - count[full[at:stop]] - before
+        hashed, least = np.empty_like(part), np.empty((PERMUTATIONS, stop - at), np.uint64)
         for i in range(PERMUTATIONS):
-            hashed = ((value * _FACTOR[i] + _TERM[i]) >> np.uint64(32)).astype(np.uint32)
-            out[full, i] = np.minimum.reduceat(hashed, starts)
+            np.multiply(part, _FACTOR[i], out=hashed)
+            np.add(hashed, _TERM[i], out=hashed)
+            np.minimum.reduceat(hashed, starts, out=least[i])
+        out[full[at:stop]] = (least >> np.uint64(32)).astype(np.uint32).T
+        at = stop
     return out
 
 
