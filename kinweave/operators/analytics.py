@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.expressions import age_gap_label, age_gap_rank
 from kinweave.graph import Graph
 from kinweave.operators.edges import adjacency, degrees, neighbours
+from kinweave.schemas import YEAR
 
 
 def _check(direction: str) -> bool:
@@ -123,7 +124,8 @@ def network_growth(
 
     'out' starts two years before ``as_of`` to the day; 'both' starts with the
     calendar year two before and counts either end. Without ``as_of`` the newest
-    date of the data is taken, from per-day counts of the same pass.
+    date of the data is taken, from per-day counts of the same pass. Edges stored by year
+    (``tabular.write_edges_by_year``) and an ``as_of`` read the folders of their years only.
     """
     both = _check(direction)
     dated = graph.edges.where(F.col("since").isNotNull())
@@ -135,6 +137,8 @@ def network_growth(
 
     if as_of is not None:
         dated = recent(dated, F.lit(as_of))
+        if YEAR in dated.columns:
+            dated = dated.where(F.col(YEAR) >= F.year(F.add_months(F.lit(as_of), -24)))
     by_day = dated.groupBy("since").agg(F.count(F.lit(1)).alias("n"))
     if as_of is None:
         by_day = recent(by_day, by_day.agg(F.max("since")).scalar())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,57 @@ def integrity_report(users: DataFrame, edges: DataFrame) -> DataFrame:
         .unionByName(unpivoted(user_checks))
         .unionByName(unpivoted(dangling))
     )
+
+
+#: Why a friendship is refused, in the order in which the constraints are tested.
+MISSING_FIELD, SELF_LOOP, UNKNOWN_USER, UNKNOWN_FRIEND, DUPLICATE_PAIR = (
+    "missing_field", "self_loop", "unknown_user", "unknown_friend", "duplicate_pair",
+)
+
+
+def checked_edges(users: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, friend_id, since, reason, n_rows): equal rows together, with the first constraint they break.
+
+    ``reason`` is null for rows that a strict load accepts. Of the rows of one pair (in
+    the same order of ends) the one with the earliest date is accepted and all others are
+    duplicates. Equal rows are counted on the map side and ids that no user has are found
+    once per id, so neither a pair repeated very often nor a missing hub is a hot key.
+    """
+    row = ["user_id", "friend_id", "since"]
+    counted = edges.groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
+    ends = F.explode(F.array("user_id", "friend_id")).alias("id")
+    known = users.select(F.col("user_id").alias("id"))
+    unknown = counted.select(ends).where(F.col("id").isNotNull()).distinct().join(known, "id", "left_anti")
+    for end in ("user_id", "friend_id"):
+        missing = unknown.select(F.col("id").alias(end), F.lit(True).alias(f"no_{end}"))
+        counted = counted.join(missing, end, "left")
+    broken = (
+        F.when(_missing(*row), MISSING_FIELD)
+        .when(F.col("user_id") == F.col("friend_id"), SELF_LOOP)
+        .when(F.col("no_user_id"), UNKNOWN_USER)
+        .when(F.col("no_friend_id"), UNKNOWN_FRIEND)
+    )
+    counted = counted.select(*row, "n", broken.alias("reason"))
+    # The window holds the different dates of one pair only.
+    dates = Window.partitionBy("user_id", "friend_id").orderBy("since")
+    whole = counted.where(F.col("reason").isNull()).withColumn("place", F.row_number().over(dates))
+    accepted = F.when(F.col("place") == 1, 1).otherwise(0)
+    split = F.inline(
+        F.array(
+            F.struct(F.lit(None).cast("string").alias("reason"), accepted.cast("long").alias("n_rows")),
+            F.struct(F.lit(DUPLICATE_PAIR).alias("reason"), (F.col("n") - accepted).alias("n_rows")),
+        )
+    )
+    whole = whole.select(*row, split).where(F.col("n_rows") > 0)
+    refused = counted.where(F.col("reason").isNotNull()).select(*row, "reason", F.col("n").alias("n_rows"))
+    return whole.unionByName(refused)
+
+
+def accepted_edges(users: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, friend_id, since): the rows a strict load accepts, one per pair."""
+    return checked_edges(users, edges).where(F.col("reason").isNull()).select("user_id", "friend_id", "since")
+
+
+def rejected_rows(users: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, friend_id, since, reason, n_rows): the rows it refuses, equal ones counted."""
+    return checked_edges(users, edges).where(F.col("reason").isNotNull())

@@ -6,6 +6,7 @@ comparison only here, never inside an operator.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from kinweave.sources.supplied import A, B
 Query = Callable[[SparkSession, str], DataFrame]
 
 PAIR_GAP, PATH_GAP = 2, 5
+GROWTH_DAY = dt.date(2001, 3, 15)
 PREVIOUS_SIZE = "small"
 EXPERIMENT = ["profile", "size", "size_idx", "source"]
 
@@ -220,6 +222,15 @@ def round_trip_friendships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.ingest_friendships(spark, folder)
 
 
+def growth_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth up to a stated day over friendships stored by year."""
+    folder = scratch_path(spark, "edges-by-year")
+    graph = supplied.load_graph(spark, sf_dir)
+    tabular.write_edges_by_year(graph.edges, folder)
+    stored = Graph(graph.users, tabular.read_edges_by_year(spark, folder))
+    return analytics.network_growth(stored, "out", as_of=GROWTH_DAY)
+
+
 def analytic(op: Callable[..., DataFrame], direction: str, *doubles: str) -> Query:
     return on_graph(lambda g: _round(op(g, direction), *doubles))
 
@@ -249,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "age_gap_analysis_both": analytic(analytics.age_gap_analysis, "both"),
     "network_growth": analytic(analytics.network_growth, "out"),
     "network_growth_both": analytic(analytics.network_growth, "both"),
+    "network_growth_as_of": growth_of_stored,
     "age_clustering": analytic(analytics.age_clustering, "out", "clustering_estimate"),
     "age_clustering_both": analytic(analytics.age_clustering, "both", "clustering_estimate"),
     # metrics and counts
@@ -327,4 +339,10 @@ QUERIES: dict[str, Query] = {
     "integrity_report": lambda spark, sf_dir: quality.integrity_report(
         supplied.users(spark, sf_dir), supplied.dangling_edges(spark, sf_dir)
     ),
+    "accepted_edges": lambda spark, sf_dir: quality.accepted_edges(
+        supplied.users(spark, sf_dir), supplied.dangling_edges(spark, sf_dir)
+    ),
+    "rejected_rows": lambda spark, sf_dir: quality.rejected_rows(
+        supplied.users(spark, sf_dir), supplied.dangling_edges(spark, sf_dir)
+    ),
 }

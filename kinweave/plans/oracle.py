@@ -383,6 +383,7 @@ BODIES = {
         "friendships", "since >= (SELECT today FROM as_of) - INTERVAL 2 YEAR"
     ),
     "network_growth_both": _growth("adj", "year(since) >= (SELECT year(today) FROM as_of) - 2"),
+    "network_growth_as_of": _growth("friendships", "since >= DATE '2001-03-15' - INTERVAL 2 YEAR"),
     "age_clustering": f"""
         SELECT CAST(floor(age / 10) * 10 AS INTEGER) AS age_group, count(*) AS users_count,
             {r("avg(CASE WHEN degree >= 2 THEN 1.0 * (degree - 1) / degree ELSE 0 END)")}
@@ -620,6 +621,22 @@ BODIES = {
             WHERE user_id NOT IN (SELECT user_id FROM users))
         UNION ALL SELECT 'dangling_friend_id', (SELECT count(*) FROM dangling_edges
             WHERE friend_id NOT IN (SELECT user_id FROM users))""",
+    "accepted_edges": """
+        SELECT user_id, friend_id, min(since) AS since FROM dangling_edges
+        WHERE user_id <> friend_id AND since IS NOT NULL
+            AND user_id IN (SELECT user_id FROM users)
+            AND friend_id IN (SELECT user_id FROM users)
+        GROUP BY user_id, friend_id""",
+    "rejected_rows": """
+        SELECT user_id, friend_id, since, reason, count(*) AS n_rows FROM (
+            SELECT *, CASE
+                WHEN user_id IS NULL OR friend_id IS NULL OR since IS NULL THEN 'missing_field'
+                WHEN user_id = friend_id THEN 'self_loop'
+                WHEN user_id NOT IN (SELECT user_id FROM users) THEN 'unknown_user'
+                WHEN friend_id NOT IN (SELECT user_id FROM users) THEN 'unknown_friend'
+                WHEN row_number() OVER (PARTITION BY user_id, friend_id ORDER BY since) > 1
+                    THEN 'duplicate_pair' END AS reason
+            FROM dangling_edges) WHERE reason IS NOT NULL GROUP BY ALL""",
 }
 
 ORACLE = {name: _ctes(body) for name, body in BODIES.items()}

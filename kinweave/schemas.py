@@ -23,6 +23,9 @@ FRIENDSHIPS = T.StructType(
     ]
 )
 
+#: Partition column of friendships stored by the year of ``since``.
+YEAR = "since_year"
+
 # The engine names used as keys in result documents.
 ENGINES = ("postgres", "neo4j")
 

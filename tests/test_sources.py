@@ -5,7 +5,8 @@ import os
 import pytest
 
 from kinweave import schemas
-from kinweave.operators import measurements, metrics, quality
+from kinweave.graph import Graph
+from kinweave.operators import analytics, measurements, metrics, quality
 from kinweave.sources import results, tabular
 from tests.graphs import DAY, graph_of
 
@@ -196,3 +197,56 @@ def test_stats_of_result_files(spark, folder):
 def test_fixed_tables(spark):
     assert schemas.size_ladder(spark).count() == 8
     assert schemas.query_classes(spark).groupBy("class").count().collect()[0]["count"] == 5
+
+
+def test_rows_that_do_not_fit_stand_apart(spark, tmp_path):
+    path = write(
+        tmp_path / "friendships.csv",
+        "user_id,friend_id,since\n1,2,2020-01-02\nx,3,2020-01-02\n2,3,soon\n4,5\n6,7,2020-01-02,8\n8,9,\n",
+    )
+    fit, refused = tabular.read_checked(spark, path, schemas.FRIENDSHIPS)
+    assert rows(fit.select("user_id")) == [(1,), (8,)]
+    assert rows(refused.select("unread_row", "friend_id")) == [
+        ("2,3,soon", 3), ("4,5", 5), ("6,7,2020-01-02,8", 7), ("x,3,2020-01-02", 3),
+    ]
+    assert all(r.file.endswith("friendships.csv") for r in refused.collect())
+
+
+def test_refused_rows_have_the_first_constraint_they_break(spark):
+    g = graph_of(spark, [(1, 2), (2, 3)])
+    late = dt.date(2030, 1, 1)
+    edges = spark.createDataFrame(
+        [(1, 2, late), (1, 2, DAY), (1, 2, DAY), (1, 2, None), (2, 1, DAY), (3, 3, DAY), (9, 9, DAY), (9, 1, DAY), (9, 8, DAY)]
+        + [(2, 8, DAY)] * 3 + [(None, 2, DAY)],
+        "user_id long, friend_id long, since date",
+    )
+    wanted = {
+        (1, 2, late, "duplicate_pair", 1), (1, 2, DAY, "duplicate_pair", 1), (1, 2, None, "missing_field", 1),
+        (3, 3, DAY, "self_loop", 1), (9, 9, DAY, "self_loop", 1), (9, 1, DAY, "unknown_user", 1), (9, 8, DAY, "unknown_user", 1),
+        (2, 8, DAY, "unknown_friend", 3), (None, 2, DAY, "missing_field", 1),
+    }
+    refused = quality.rejected_rows(g.users, edges)
+    assert {tuple(r) for r in refused.collect()} == wanted
+    kept = quality.accepted_edges(g.users, edges)
+    assert rows(kept) == [(1, 2, DAY), (2, 1, DAY)]
+    assert refused.agg({"n_rows": "sum"}).first()[0] + kept.count() == edges.count()
+    assert quality.rejected_rows(g.users, edges.limit(0)).count() == 0
+
+
+def test_growth_reads_the_years_it_needs(spark, tmp_path):
+    days = [dt.date(y, m, 3) for y in range(2010, 2020) for m in (1, 5, 9)]
+    edges = spark.createDataFrame(
+        [(i, i + 100, day) for i, day in enumerate(days)] + [(90, 91, None)], "user_id long, friend_id long, since date"
+    )
+    folder = str(tmp_path / "by_year")
+    tabular.write_edges_by_year(edges, folder, parts=3)
+    stored = tabular.read_edges_by_year(spark, folder)
+    assert rows(stored.select(*edges.columns).where("since is not null")) == rows(edges.where("since is not null"))
+    assert stored.count() == edges.count()
+    users = spark.createDataFrame([], schemas.USERS)
+    as_of = dt.date(2018, 5, 3)
+    for direction in ("out", "both"):
+        grown = analytics.network_growth(Graph(users, stored), direction, as_of=as_of)
+        assert rows(grown) == rows(analytics.network_growth(Graph(users, edges), direction, as_of=as_of))
+        plan = grown._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(since_year" in plan and ">= 2016)]" in plan
