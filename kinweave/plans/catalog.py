@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PAIR_GAP, PATH_GAP = 2, 5
 GROWTH_DAY = dt.date(2001, 3, 15)
 PREVIOUS_SIZE = "small"
+SIZE_PAGE = 3
 EXPERIMENT = ["profile", "size", "size_idx", "source"]
 
 
@@ -210,6 +211,55 @@ def published_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(*shown).unionByName(named, allowMissingColumns=True)
 
 
+def complete_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole result documents written twice and read back: counts by engine, size and profile."""
+    runs, graph = supplied.runs(spark, sf_dir), supplied.load_graph(spark, sf_dir)
+    ratios = experiment_ratios(runs)
+    summaries = measurements.efficiency_summary(ratios, A, B, EXPERIMENT)
+    counts = metrics.db_metrics_counts(graph)
+    loaded = F.struct(
+        counts.select("users_count").scalar().alias("users_count"),
+        counts.select("friendships_count").scalar().alias("friendships_count"),
+    )
+    whole = results.complete_documents(runs, ratios, summaries, (A, B), loaded)
+    folder = scratch_path(spark, "complete")
+    for _ in range(2):
+        results.write_partitioned(whole, folder, "profile", "size")
+    read = results.read_documents(spark, folder, pattern="part-*", multi_line=False)
+    status = F.try_variant_get("doc", "$.status", "string")
+    users_count = F.try_variant_get("doc", "$.metadata.dataset_size.users_count", "long")
+    found = read.groupBy("profile", "size", status.alias("status"), users_count.alias("users_count")).agg(
+        F.count(F.lit(1)).alias("documents")
+    )
+    flat = results.runs_from_json(spark, folder, (A, B), pattern="part-*", multi_line=False)
+    times = flat.groupBy("profile", "size").agg(F.count("t").alias("n_times"), F.round(F.sum("t"), 3).alias("sum_times"))
+    each, _ = results.efficiency_from_json(spark, folder, (A, B), pattern="part-*", multi_line=False)
+    mapped = each.groupBy("profile", "size").agg(F.count(F.lit(1)).alias("n_ratios"))
+    return found.join(times, ["profile", "size"]).join(mapped, ["profile", "size"], "left")
+
+
+def size_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of sizes, a page of few experiments each, written and read back."""
+    pages = results.size_documents(trials(supplied.runs(spark, sf_dir)), SIZE_PAGE)
+    folder = scratch_path(spark, "sizes")
+    results.write_partitioned(pages, folder, "profile", "size")
+    doc = F.parse_json("value")
+    read = spark.read.option("pathGlobFilter", "part-*").text(folder).select(doc.alias("doc"))
+
+    def field(place: str, kind: str, name: str) -> F.Column:
+        return F.variant_get("doc", place, kind).alias(name)
+
+    found = read.select(
+        field("$.infrastructure_config", "string", "profile"),
+        field("$.size", "string", "size"),
+        field("$.page", "long", "page"),
+        field("$.iterations", "long", "iterations"),
+        field("$.successful_iterations", "long", "successful_iterations"),
+        F.explode(F.variant_get("doc", "$.results", "array<struct<seq:long,status:string,average_efficiency:double>>")).alias("r"),
+    )
+    return found.select("profile", "size", "page", "iterations", "successful_iterations", "r.*")
+
+
 def round_trip_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "users")
     tabular.write_csv(supplied.users(spark, sf_dir), folder)
@@ -298,6 +348,8 @@ QUERIES: dict[str, Query] = {
         lambda r: measurements.efficiency_summary(experiment_ratios(r), A, B, EXPERIMENT)
     ),
     "efficiency_from_json": published_ratios,
+    "complete_documents": complete_round_trip,
+    "size_documents": size_documents,
     "efficiency_by_class": on_runs(classes),
     "fastest_queries": on_runs(lambda r: measurements.fastest_queries(pooled_ratios(r), A, B)),
     "engine_ratio": on_runs(lambda r: measurements.engine_ratio(measurements.run_stats(r), A, B)),

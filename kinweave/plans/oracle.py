@@ -469,6 +469,20 @@ BODIES = {
         SELECT profile, size, query, efficiency_coefficient, improvement_percentage, a_time_ms, b_time_ms, significance FROM ratios
         UNION ALL
         SELECT profile, size, '_summary', average_efficiency, NULL, NULL, NULL, overall_winner FROM summaries""",
+    "complete_documents": """
+        SELECT profile, size, status, users_count, documents, n_times, sum_times, n_ratios
+        FROM (SELECT profile, size, status, count(*) AS documents FROM trials GROUP BY ALL)
+        JOIN (SELECT profile, size, count(*) AS n_times, round(sum(t), 3) AS sum_times
+            FROM runs GROUP BY ALL) USING (profile, size)
+        LEFT JOIN (SELECT profile, size, count(*) AS n_ratios FROM ratios GROUP BY ALL)
+            USING (profile, size)
+        CROSS JOIN (SELECT count(*) AS users_count FROM users)""",
+    "size_documents": """
+        SELECT profile, size, (row_number() OVER (PARTITION BY profile, size ORDER BY seq) - 1) // 3 AS page,
+            count(*) OVER (PARTITION BY profile, size) AS iterations,
+            count(*) FILTER (status = 'completed') OVER (PARTITION BY profile, size) AS successful_iterations,
+            seq, status, average_efficiency
+        FROM trials""",
     "efficiency_by_class": f"""
         SELECT profile, size, size_idx, source,
             CASE WHEN query IN ('click', 'view') THEN 'graph' ELSE 'analytical' END AS class,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave import schemas
+from kinweave.functions.ranking import positions
 
 
 def _newest(spark: SparkSession, path: str, pattern: str, n: int) -> list[str]:
@@ -166,8 +167,8 @@ def efficiency_from_json(
     return ratios, members.where(F.col("name") == SUMMARY).select(*kept, *_fields(SUMMARY_FIELDS, engines))
 
 
-def efficiency_documents(ratios: DataFrame, summaries: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
-    """One row (document, size, json) per experiment: its efficiency map with the summary in it."""
+def _efficiency_members(ratios: DataFrame, summaries: DataFrame, engines: Sequence[str], document: str) -> DataFrame:
+    """(document, size, profile, members): JSON text of an efficiency map and its summary, without braces."""
     a, b = engines
     keys = [document, "size", "profile"]
 
@@ -179,14 +180,19 @@ def efficiency_documents(ratios: DataFrame, summaries: DataFrame, engines: Seque
     # Members differ in their fields, so each is JSON text already.
     quoted = F.concat(F.to_json(F.array("member.query")), F.lit(":"), F.col("member.col2"))
     member = F.regexp_replace(quoted, r"^\[(.*?)\]:", "$1:")
-    folded = whole.select(*keys, member.alias("member")).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"))
+    return whole.select(*keys, member.alias("member")).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"))
+
+
+def efficiency_documents(ratios: DataFrame, summaries: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
+    """One row (document, size, json) per experiment: its efficiency map with the summary in it."""
+    folded = _efficiency_members(ratios, summaries, engines, document)
     metadata = F.to_json(F.struct(F.col("size").alias("dataset"), F.col("profile").alias("docker_config")))
     body = F.concat(F.lit('{"efficiency":{'), "members", F.lit('},"metadata":'), metadata, F.lit("}"))
     return folded.select(document, "size", body.alias("json"))
 
 
-def documents_of(runs: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
-    """Flat measurements folded into documents: one row (document, size, json) per file and size.
+def _measured(runs: DataFrame, engines: Sequence[str], document: str) -> DataFrame:
+    """(document, size, users_n, profile, a map per engine): measurements of each experiment by query.
 
     A document holds one experiment, so the lists it collects have its size.
     """
@@ -212,7 +218,12 @@ def documents_of(runs: DataFrame, engines: Sequence[str], document: str = "sourc
         entry = F.when(F.col("engine") == engine, F.struct("query", measured.alias("m")))
         return F.map_from_entries(F.collect_list(entry)).alias(engine)
 
-    folded = per_query.groupBy(*keys).agg(*[side(e) for e in engines])
+    return per_query.groupBy(*keys).agg(*[side(e) for e in engines])
+
+
+def documents_of(runs: DataFrame, engines: Sequence[str], document: str = "source") -> DataFrame:
+    """Flat measurements folded into documents: one row (document, size, json) per file and size."""
+    folded = _measured(runs, engines, document)
     metadata = F.struct(
         F.col("size").alias("dataset"),
         F.col("profile").alias("docker_config"),
@@ -222,6 +233,98 @@ def documents_of(runs: DataFrame, engines: Sequence[str], document: str = "sourc
     return folded.select(document, "size", F.to_json(body).alias("json"))
 
 
+def _ladder_entry(size: str) -> F.Column:
+    """The fixed settings of a dataset size; null for a size that the ladder lacks."""
+    entry = F.when(F.lit(False), F.struct(F.lit(0).alias("users"), F.lit(0).alias("avg_friends"), F.lit(0).alias("iterations")))
+    for name, (users, friends, iterations) in schemas.SIZE_LADDER.items():
+        fixed = F.struct(F.lit(users).alias("users"), F.lit(friends).alias("avg_friends"), F.lit(iterations).alias("iterations"))
+        entry = entry.when(F.col(size) == name, fixed)
+    return entry
+
+
+COMPLETED, FAILED = "completed", "load_failed"
+
+
+def complete_documents(
+    runs: DataFrame,
+    ratios: DataFrame,
+    summaries: DataFrame,
+    engines: Sequence[str],
+    dataset_size: F.Column | None = None,
+    document: str = "source",
+) -> DataFrame:
+    """(document, profile, size, json): whole result documents, one per experiment.
+
+    Each holds the measurements of both engines, the efficiency map with its summary, a
+    status, and metadata with the size's settings and, where given, ``dataset_size``, a
+    struct of counts. An experiment without a ratio has an empty map and has failed.
+    """
+    keys = [document, "size", "profile"]
+    members = _efficiency_members(ratios, summaries, engines, document)
+    whole = _measured(runs, engines, document).join(members, keys, "left")
+    sides = F.to_json(F.struct(*engines))
+    status = F.when(F.col("members").isNull(), FAILED).otherwise(COMPLETED)
+    metadata = [
+        F.col("size").alias("dataset"),
+        F.col("profile").alias("docker_config"),
+        F.col("users_n").alias("users"),
+        F.struct(_ladder_entry("size").alias("dataset_size_config")).alias("config"),
+    ]
+    if dataset_size is not None:
+        metadata.append(dataset_size.alias("dataset_size"))
+    body = F.concat(
+        sides.substr(F.lit(1), F.length(sides) - 1),
+        F.lit(',"efficiency":{'),
+        F.coalesce("members", F.lit("")),
+        F.lit('},"status":"'),
+        status,
+        F.lit('","metadata":'),
+        F.to_json(F.struct(*metadata)),
+        F.lit("}"),
+    )
+    return whole.select(document, "profile", "size", body.alias("json"))
+
+
+#: Experiments in a document of a size; further ones are in documents of the same head.
+PAGE = 1_000
+
+
+def size_documents(trials: DataFrame, page: int = PAGE) -> DataFrame:
+    """(profile, size, page, json): the experiments of each size with their counts.
+
+    ``trials`` has (profile, size, seq, status, average_efficiency, overall_winner), in
+    the order of the integer ``seq``. A document holds at most ``page`` experiments, so no
+    list grows with the number of experiments of a size.
+    """
+    keys = ["profile", "size"]
+    counts = trials.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("iterations"), F.count_if(F.col("status") == COMPLETED).alias("successful_iterations")
+    )
+    result = F.struct("seq", "status", "average_efficiency", "overall_winner")
+    paged = positions(trials.select(*keys, "seq", "status", "average_efficiency", "overall_winner"), keys, "seq")
+    paged = paged.withColumn("page", F.floor((F.col("position") - 1) / page))
+    listed = paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(result)).alias("results"))
+    config = _ladder_entry("size").alias("config")
+    body = F.struct(
+        F.col("profile").alias("infrastructure_config"), "size", config, "page", "iterations", "successful_iterations", "results"
+    )
+    return listed.join(counts, keys).select(*keys, "page", F.to_json(body).alias("json"))
+
+
+def write_partitioned(documents: DataFrame, folder: str, *keys: str) -> None:
+    """Documents as JSON text, one per line, in folders by ``keys``.
+
+    Folders of the same keys are replaced and others stay, so a repeated run leaves
+    each document once.
+    """
+    dealt = documents.select(*keys, "json").repartition(*keys, F.pmod(F.xxhash64("json"), F.lit(WRITERS)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(folder)
+
+
+#: Tasks that share the documents of one folder.
+WRITERS = 8
+
+
 def write_documents(documents: DataFrame, folder: str) -> None:
     """Documents as JSON text, one per line."""
     documents.select("json").write.text(folder)

@@ -250,3 +250,44 @@ def test_growth_reads_the_years_it_needs(spark, tmp_path):
         assert rows(grown) == rows(analytics.network_growth(Graph(users, edges), direction, as_of=as_of))
         plan = grown._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(since_year" in plan and ">= 2016)]" in plan
+
+
+def test_complete_documents_hold_failed_experiments(spark, tmp_path):
+    columns = "engine string, query string, size string, users_n long, iteration int, run_no long, source long, profile string, results_count int, t double"
+    runs = spark.createDataFrame(
+        [
+            ("a", "q", "tiny", 10, 1, 1, 1, "p", 5, 2.0), ("a", "q", "tiny", 10, 2, 2, 1, "p", 5, 4.0), ("b", "q", "tiny", 10, 1, 3, 1, "p", 5, 1.5),
+            ("a", "q", "odd", 7, 1, 4, 2, "p", 5, 1.0),
+        ],
+        columns,
+    )
+    keys = ["profile", "size", "source"]
+    ratios = measurements.efficiency(measurements.run_stats(runs, keys), "a", "b", keys)
+    summaries = measurements.efficiency_summary(ratios, "a", "b", keys)
+    whole = results.complete_documents(runs, ratios, summaries, ("a", "b"))
+    folder = str(tmp_path / "complete")
+    for _ in range(2):  # a second run replaces its own documents
+        results.write_partitioned(whole, folder, "profile", "size")
+    results.write_partitioned(whole.where("size = 'odd'"), folder, "profile", "size")
+    docs = {d["metadata"]["dataset"]: d for d in (json.loads(r.value) for r in spark.read.text(folder).collect())}
+    assert spark.read.text(folder).count() == len(docs) == 2
+    assert docs["tiny"]["a"]["q"]["times"] == [2.0, 4.0] and docs["tiny"]["status"] == "completed"
+    assert docs["tiny"]["metadata"]["config"]["dataset_size_config"] == {"users": 10_000, "avg_friends": 22, "iterations": 3}
+    assert docs["tiny"]["efficiency"]["q"]["efficiency_coefficient"] == 2.0 and results.SUMMARY in docs["tiny"]["efficiency"]
+    assert docs["odd"]["efficiency"] == {} and docs["odd"]["status"] == "load_failed" and docs["odd"]["b"] == {}
+    flat = results.runs_from_json(spark, folder, ("a", "b"), pattern="part-*", multi_line=False)
+    assert rows(flat.select("engine", "size", "t")) == [("a", "odd", 1.0), ("a", "tiny", 2.0), ("a", "tiny", 4.0), ("b", "tiny", 1.5)]
+    empty = results.complete_documents(runs.limit(0), ratios.limit(0), summaries.limit(0), ("a", "b"))
+    assert empty.count() == 0
+
+
+@pytest.mark.parametrize("page,sizes", [(2, [2, 2, 1]), (5, [5]), (1_000, [5])])
+def test_size_documents_have_bounded_pages(spark, page, sizes):
+    trials = spark.createDataFrame(
+        [("p", "tiny", i, "completed" if i % 2 else "load_failed", 1.5 if i % 2 else None, "a" if i % 2 else None) for i in (9, 300_000, 5, 7, 1 << 41)],
+        "profile string, size string, seq long, status string, average_efficiency double, overall_winner string",
+    )
+    docs = [json.loads(r.json) for r in results.size_documents(trials, page).orderBy("page").collect()]
+    assert [len(d["results"]) for d in docs] == sizes
+    assert [r["seq"] for d in docs for r in d["results"]] == [5, 7, 9, 300_000, 1 << 41]
+    assert all((d["iterations"], d["successful_iterations"], d["infrastructure_config"]) == (5, 3, "p") for d in docs)
