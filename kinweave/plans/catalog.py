@@ -79,6 +79,13 @@ def paths(direction: str) -> Query:
     return query
 
 
+def paths_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in a graph with two hubs, each of which also stands in a pair with every user."""
+    graph = supplied.load_skewed_graph(spark, sf_dir)
+    found = shortest_path(graph, supplied.skewed_pairs(spark, sf_dir, PATH_GAP))
+    return found.withColumn("path", path_text())
+
+
 # -- measurements
 
 
@@ -301,6 +308,7 @@ QUERIES: dict[str, Query] = {
     ),
     "shortest_path": paths("both"),
     "shortest_path_directed": paths("out"),
+    "shortest_path_skewed": paths_skewed,
     # network analytics
     "cohort_analysis": analytic(analytics.cohort_analysis, "out"),
     "cohort_analysis_both": analytic(analytics.cohort_analysis, "both"),

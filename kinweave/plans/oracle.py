@@ -32,14 +32,14 @@ def _pairs(gap: int) -> str:
         FROM ({_edges_by_gap(gap)}) WHERE user_id <> friend_id"""
 
 
-def _paths(step: str) -> str:
+def _paths(step: str, pairs: str = "path_pairs") -> str:
     return f"""
         SELECT user_a, user_b, path, CAST(len(path) - 1 AS INTEGER) AS depth FROM (
             WITH one AS (
                 SELECT user_a, user_b, [user_a, user_b] AS path
-                FROM path_pairs JOIN {step} s ON s.src = user_a AND s.dst = user_b
+                FROM {pairs} JOIN {step} s ON s.src = user_a AND s.dst = user_b
             ), left1 AS (
-                SELECT * FROM path_pairs p WHERE NOT EXISTS (
+                SELECT * FROM {pairs} p WHERE NOT EXISTS (
                     SELECT 1 FROM one o WHERE o.user_a = p.user_a AND o.user_b = p.user_b)
             ), two AS (
                 SELECT user_a, user_b, min([user_a, s.dst, user_b]) AS path
@@ -110,6 +110,9 @@ VIEWS = {
     "skewed_pairs": f"""
         {_pairs(2)} UNION SELECT h.id, c_custkey FROM customer, (VALUES (1), (2)) h(id)
         WHERE h.id <> c_custkey""",
+    "skewed_path_pairs": f"""
+        {_pairs(5)} UNION SELECT h.id, c_custkey FROM customer, (VALUES (1), (2)) h(id)
+        WHERE h.id <> c_custkey""",
     "skewed_common": """
         SELECT a.src AS seed, b.dst AS cand, count(*) AS common_friends
         FROM skewed_adj a JOIN skewed_adj b ON b.src = a.dst
@@ -373,6 +376,9 @@ BODIES = {
     "shortest_path_directed": f"""
         SELECT user_a, user_b, '[' || array_to_string(path, ',') || ']' AS path, depth
         FROM ({_paths("outward")})""",
+    "shortest_path_skewed": f"""
+        SELECT user_a, user_b, '[' || array_to_string(path, ',') || ']' AS path, depth
+        FROM ({_paths("skewed_adj", "skewed_path_pairs")})""",
     "cohort_analysis": _cohorts("friendships", "user_id"),
     "cohort_analysis_both": _cohorts("adj", "src"),
     "social_cities": _cities("friendships", "user_id", "friend_id"),
