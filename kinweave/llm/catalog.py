@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import collocations, licences, linededup, merkle, minhash, mixing, ngramjoin, packing, pieces, pii, quality, simhash, toxicity
 from kinweave.llm.oracle import ORACLE  # noqa: F401
-from kinweave.llm.common import documents
+from kinweave.llm.common import documents, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,13 @@ def _mixed(docs: DataFrame) -> DataFrame:
     return mixing.mix_sources(docs).withColumns({"mix_rate": F.round("mix_rate", 6), "mix_key": F.round("mix_key", 9)})
 
 
+def _ablations(docs: DataFrame) -> DataFrame:
+    """The second half of the rule ledger: every policy's rules by what each removes."""
+    ledger = stored(quality.ledger(docs).select("failed"), "quality-ledger")
+    each = [quality.ablations(ledger, policy).select(F.lit(policy).alias("policy"), "*") for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": _on_documents(pii.find_pii),
     "op2_ngram_join": _on_documents(ngramjoin.jaccard_join),
@@ -36,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": _toxicity,
     "op7_mixing": _on_documents(_mixed),
     "op8_quality": _on_documents(quality.quality_rules),
+    "quality_ablations": _on_documents(_ablations),
     "op9_pieces": _on_documents(pieces.piece_counts),
     "op10_fingerprints": _on_documents(minhash.fingerprints),
     "op11_manifest": _on_documents(merkle.manifest),

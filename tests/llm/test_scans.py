@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kinweave.llm import licences, pieces, pii, quality
+from kinweave.llm.catalog import QUERIES
 from tests.llm import brute, fixtures
 
 PII = [
@@ -191,3 +192,17 @@ def test_automaton_with_missing_bytes():
 @pytest.mark.parametrize("operator", [pii.find_pii, licences.scan_licences, quality.quality_rules, pieces.piece_counts])
 def test_empty_table(spark, operator):
     assert operator(fixtures.empty(spark)).count() == 0
+
+
+def test_ablations_query_equals_verdicts(spark):
+    """Over the whole table: counts by rule and policy equal those of single rows' bits."""
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r["policy"], r["rule"]): r for r in QUERIES["quality_ablations"](spark, sf_dir).collect()}
+    assert set(got) == {(policy, rule) for policy, rules in quality.POLICIES.items() for rule in rules}
+    masks = [r["failed"] for r in QUERIES["op8_quality"](spark, sf_dir).collect()]
+    places = {rule: 1 << i for i, rule in enumerate(quality._rules())}
+    for (policy, rule), row in got.items():
+        of = [m & sum(places[r] for r in quality.POLICIES[policy]) for m in masks]
+        assert row["n_failed"] == sum(bool(m & places[rule]) for m in of)
+        assert row["n_only"] == sum(m == places[rule] for m in of)
+        assert row["n_removed"] == sum(map(bool, of)) and row["n_documents"] == len(masks)
