@@ -2,9 +2,11 @@
 
 Examples are a random sample of about `EXAMPLES` labelled rows outside the held-out fold
 (crc32 of the id, modulo 4, is not 2): this bounds the index, which every task gets. Terms
-are the words whose share differs between the two labels beyond chance (`MIN_CHI2`), at
-most `TERMS`; their document frequencies come from all documents. A text is a vector of
-(1 + log tf) * idf over these terms, scaled to length 1.
+are the words that toxic examples have more often beyond chance: with as many words tested
+as the examples hold, a chi-square (continuity corrected) that less than one of them
+would reach by chance. So the bar moves with the words and not with a fixed number; at
+most `TERMS` are kept. Their document frequencies come from all documents. A text is a
+vector of (1 + log tf) * idf over these terms, scaled to length 1.
 
 The index holds the examples that have a term and keeps postings by term in blocks of `BLOCK` examples with each block's largest
 weight. A block's bound is the sum of query weight times block maximum; blocks are read
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from kinweave.llm.common import arrow_map, id_and_text, record_batch, ship_code, stored, tidy
 from kinweave.llm.words import ALNUM, LOWER, Texts, slices
 
-EXAMPLES, TERMS, MIN_CHI2, MIN_DOCS = 20_000, 4_096, 30.0, 4
+EXAMPLES, TERMS = 20_000, 4_096
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
 THRESHOLD = 0.3
 _PRIOR_WEIGHT = 0.25
@@ -161,7 +164,7 @@ class Model:
 
 def monotone(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the best non-decreasing fit (pool adjacent violators), slightly smoothed."""
-    order = np.argsort(raw, kind="stable")
+    order = np.lexsort((-label, raw))  # equal raw scores become one pool
     pools: list[list[float]] = []  # sum of raw, sum of labels, number
     for r, y in zip(raw[order], label[order]):
         pools.append([r, float(y), 1.0])
@@ -172,6 +175,11 @@ def monotone(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + mean) / (p[2] + 1) for p in pools])
 
 
+def chance_bar(n_words: int) -> float:
+    """The chi-square that, of so many words without any difference, less than one is expected to reach."""
+    return NormalDist().inv_cdf(1 - 0.5 / max(2, n_words)) ** 2
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of about EXAMPLES labelled rows outside the held-out fold."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -198,14 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     both, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
     toxic = toxic or 0
-    counted = arrow_map(sample, by_word, "word long, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("a"))
     clean = both - toxic
-    b = F.col("n") - F.col("a")
-    c, d = F.lit(toxic) - F.col("a"), F.lit(clean) - b
-    chi2 = F.lit(float(both)) * F.pow((F.col("a") * d - b * c).cast("double"), 2) / (F.col("n") * (c + d) * F.lit(max(1, toxic)) * F.lit(max(1, clean)))
+    counted = arrow_map(sample, by_word, "word long, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("a"))
+    counted = stored(counted, "toxicity-words")
     # Words of the larger part by label only dilute the votes: keep those of toxic texts.
-    over = F.col("a") * F.lit(clean) > b * F.lit(toxic)
-    chosen = counted.filter(over & (F.col("n") >= MIN_DOCS) & (c + d > 0)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
+    ahead = F.col("a") * F.lit(clean) - (F.col("n") - F.col("a")) * F.lit(toxic) - F.lit(both / 2)
+    spread = F.col("n") * (F.lit(both) - F.col("n")) * F.lit(max(1, toxic)) * F.lit(max(1, clean))
+    told = counted.filter((ahead > 0) & (spread > 0)).withColumn("chi2", F.lit(float(both)) * ahead * ahead / spread)
+    chosen = told.filter(F.col("chi2") >= chance_bar(counted.count()))
     hashes = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(TERMS).collect()], np.int64).view(np.uint64))
     terms = Terms(hashes, np.ones(len(hashes)))
     terms.idf = inverse_frequencies(docs, terms)

@@ -3,7 +3,9 @@
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
+from statistics import NormalDist
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +218,60 @@ def test_monotone_fit():
     assert len(steps) == 3 and (np.diff(values) > 0).all() and (values >= 0).all() and (values <= 1).all()
 
 
+def plain_scores(docs, labels):
+    """{doc_id: score} by sets, dense products and full sorts, without hashes or an index."""
+    word, lower = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {c: c + 32 for c in range(65, 91)}
+    counts = {r["doc_id"]: Counter(word.findall((r["text"] or "").translate(lower))) for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    copies = {}
+    for r in docs.collect():
+        if r["doc_id"] in marks:
+            copies.setdefault(r["text"], []).append(r["doc_id"])
+    marks = {min(same): max(marks[i] for i in same) for same in copies.values()}  # equal texts are one example
+    ids = sorted(marks)
+    toxic, n = sum(marks[i] for i in ids), len(ids)
+    held, bad = Counter(w for i in ids for w in counts[i]), Counter(w for i in ids if marks[i] for w in counts[i])
+    bar = NormalDist().inv_cdf(1 - 0.5 / len(held)) ** 2
+
+    def chi2(w):
+        ahead = bad[w] * (n - toxic) - (held[w] - bad[w]) * toxic - n / 2
+        return n * ahead**2 / (held[w] * (n - held[w]) * toxic * (n - toxic)) if ahead > 0 else 0
+
+    terms = [w for w in held if held[w] < n and chi2(w) >= bar]
+    idf = {w: np.log(1 + len(counts) / sum(w in c for c in counts.values())) for w in terms}
+    vectors = {}
+    for i, c in counts.items():
+        v = np.array([(1 + np.log(c[w])) * idf[w] if c[w] else 0.0 for w in terms])
+        vectors[i] = v / max(np.linalg.norm(v), 1e-300)
+    share = toxic / n
+    bare = [marks[i] for i in ids if not vectors[i].any()]
+    indexed = [i for i in ids if vectors[i].any()]
+
+    def raw(v, without=None):
+        near = sorted(((v @ vectors[i], marks[i]) for i in indexed if i != without and v @ vectors[i] > 0), key=lambda x: -x[0])
+        assert len(near) <= toxicity.NEIGHBOURS  # so that no tie is cut
+        return (sum(c * y for c, y in near) + 0.25 * share) / (sum(c for c, _ in near) + 0.25)
+
+    steps, values = toxicity.monotone(np.array([raw(vectors[i], i) for i in indexed]), np.array([float(marks[i]) for i in indexed]))
+    without = np.mean(bare) if bare else share
+    return terms, {i: np.interp(raw(v), steps, values) if v.any() else without for i, v in vectors.items()}
+
+
+def test_scores_equal_plain_scores(spark):
+    folder = SF.replace("0.01", "0.001")
+    docs, labels = documents(spark, folder), documents(spark, folder, "labels")
+    terms, wanted = plain_scores(docs, labels)
+    assert terms  # few labels are enough for some
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[i] - wanted[i]) < 1e-9 for i in wanted)
+
+
+def test_bar_moves_with_the_words():
+    bars = [toxicity.chance_bar(n) for n in (0, 10, 1_000, 100_000, 10_000_000)]
+    assert bars == sorted(bars) and 3.8 < toxicity.chance_bar(20) < 3.9 and bars[-1] < 30
+
+
 def test_held_out_accuracy(spark):
     docs, labels = documents(spark, SF.replace("0.01", "0.1")), documents(spark, SF.replace("0.01", "0.1"), "labels")
     scored = toxicity.score_documents(docs, labels)

@@ -33,6 +33,7 @@ def test_toxic_documents_go(spark, stages):
     before, after = stages["toxicity"]
     scored = toxicity.score_documents(before, documents(spark, SF, "labels"))
     assert set(texts(after)) == {r["doc_id"] for r in scored.filter("predicted = 0").collect()}
+    assert 0 < len(texts(after)) < len(texts(before))
 
 
 def test_repeated_lines_go(stages):
