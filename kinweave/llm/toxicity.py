@@ -2,11 +2,13 @@
 
 Examples are a random sample of about `EXAMPLES` labelled rows outside the held-out fold
 (crc32 of the id, modulo 4, is not 2): this bounds the index, which every task gets. Terms
-are the words that toxic examples have more often beyond chance: with as many words tested
-as the examples hold, a chi-square (continuity corrected) that less than one of them
-would reach by chance. So the bar moves with the words and not with a fixed number; at
-most `TERMS` are kept. Their document frequencies come from all documents. A text is a
-vector of (1 + log tf) * idf over these terms, scaled to length 1.
+are the words that toxic examples have more often beyond chance: a word's surprise bounds
+(Chernoff) the chance of so many toxic texts among its texts, and it has to be so small
+that less than one of all words tested would get there without any difference (words in
+too few texts to get there at all aren't tested). So the bar moves with the words and
+isn't a fixed number; the `TERMS` most surprising are kept.
+Their document frequencies come from all documents. A text is a vector of
+(1 + log tf) * idf over these terms, scaled to length 1.
 
 The index holds the examples that have a term and keeps postings by term in blocks of `BLOCK` examples with each block's largest
 weight. A block's bound is the sum of query weight times block maximum; blocks are read
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -175,9 +176,30 @@ def monotone(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + mean) / (p[2] + 1) for p in pools])
 
 
-def chance_bar(n_words: int) -> float:
-    """The chi-square that, of so many words without any difference, less than one is expected to reach."""
-    return NormalDist().inv_cdf(1 - 0.5 / max(2, n_words)) ** 2
+def surprise(toxic: int, clean: int) -> Column:
+    """-log of the bound on the chance that of `n` texts with a word `a` or more are toxic.
+
+    This is n times the divergence of the word's share of toxic texts from the share of all.
+    """
+    def part(k: Column, of: int) -> Column:
+        expected = F.col("n") * F.lit(of / max(1, toxic + clean))
+        return F.when((k > 0) & (expected > 0), k * F.log(k / expected)).otherwise(0.0)
+
+    return part(F.col("a"), toxic) + part(F.col("n") - F.col("a"), clean)
+
+
+def chance_bar(sizes: dict[int, int], share: float) -> float:
+    """The surprise that less than one of the words tested reaches by chance; `sizes` is {texts: words}.
+
+    A word in n texts can't get beyond -n log(share of toxic texts), so only words in
+    enough texts to reach the bar count as tested.
+    """
+    tested = sum(sizes.values())
+    for n in sorted(sizes):
+        if np.log(tested) <= -n * np.log(max(share, 1e-300)):
+            return float(np.log(tested))
+        tested -= sizes[n]
+    return float("inf")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,11 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counted = arrow_map(sample, by_word, "word long, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("a"))
     counted = stored(counted, "toxicity-words")
     # Words of the larger part by label only dilute the votes: keep those of toxic texts.
-    ahead = F.col("a") * F.lit(clean) - (F.col("n") - F.col("a")) * F.lit(toxic) - F.lit(both / 2)
-    spread = F.col("n") * (F.lit(both) - F.col("n")) * F.lit(max(1, toxic)) * F.lit(max(1, clean))
-    told = counted.filter((ahead > 0) & (spread > 0)).withColumn("chi2", F.lit(float(both)) * ahead * ahead / spread)
-    chosen = told.filter(F.col("chi2") >= chance_bar(counted.count()))
-    hashes = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(TERMS).collect()], np.int64).view(np.uint64))
+    over = F.col("a") * F.lit(clean) > (F.col("n") - F.col("a")) * F.lit(toxic)
+    # At most a row for each number of examples.
+    sizes = {r["n"]: r["count"] for r in counted.groupBy("n").count().collect()}
+    bar = chance_bar(sizes, toxic / max(1, both))
+    chosen = counted.filter(over).withColumn("surprise", surprise(toxic, clean)).filter(F.col("surprise") >= bar)
+    hashes = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("surprise"), "word").limit(TERMS).collect()], np.int64).view(np.uint64))
     terms = Terms(hashes, np.ones(len(hashes)))
     terms.idf = inverse_frequencies(docs, terms)
 

@@ -5,7 +5,7 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
-from statistics import NormalDist
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -231,13 +231,14 @@ def plain_scores(docs, labels):
     ids = sorted(marks)
     toxic, n = sum(marks[i] for i in ids), len(ids)
     held, bad = Counter(w for i in ids for w in counts[i]), Counter(w for i in ids if marks[i] for w in counts[i])
-    bar = NormalDist().inv_cdf(1 - 0.5 / len(held)) ** 2
+    reach = [sum(k >= least for k in held.values()) for least in range(1, n + 1)]
+    bar = next(np.log(k) for least, k in enumerate(reach, 1) if k <= (n / toxic) ** least)
 
-    def chi2(w):
-        ahead = bad[w] * (n - toxic) - (held[w] - bad[w]) * toxic - n / 2
-        return n * ahead**2 / (held[w] * (n - held[w]) * toxic * (n - toxic)) if ahead > 0 else 0
+    def surprise(w):
+        a, b = bad[w], held[w] - bad[w]
+        return sum(k * np.log(k * n / (held[w] * of)) for k, of in ((a, toxic), (b, n - toxic)) if k)
 
-    terms = [w for w in held if held[w] < n and chi2(w) >= bar]
+    terms = [w for w in held if bad[w] * n > held[w] * toxic and surprise(w) >= bar]
     idf = {w: np.log(1 + len(counts) / sum(w in c for c in counts.values())) for w in terms}
     vectors = {}
     for i, c in counts.items():
@@ -267,9 +268,14 @@ def test_scores_equal_plain_scores(spark):
     assert all(abs(found[i] - wanted[i]) < 1e-9 for i in wanted)
 
 
-def test_bar_moves_with_the_words():
-    bars = [toxicity.chance_bar(n) for n in (0, 10, 1_000, 100_000, 10_000_000)]
-    assert bars == sorted(bars) and 3.8 < toxicity.chance_bar(20) < 3.9 and bars[-1] < 30
+def test_surprise_bounds_the_chance(spark):
+    cases = [(n, a) for n in (2, 5, 40) for a in range(n + 1) if a * 10 >= n]
+    rows = spark.createDataFrame(cases, "n long, a long").withColumn("s", toxicity.surprise(10, 90)).collect()
+    for r in rows:
+        tail = sum(comb(r["n"], k) * 0.1**k * 0.9 ** (r["n"] - k) for k in range(r["a"], r["n"] + 1))
+        assert tail <= np.exp(-r["s"]) * (1 + 1e-9)
+    assert toxicity.chance_bar({1: 90, 2: 60, 3: 5}, 0.1) == np.log(65)
+    assert toxicity.chance_bar({1: 5}, 0.9) == toxicity.chance_bar({}, 0.5) == float("inf")
 
 
 def test_held_out_accuracy(spark):
