@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.expressions import rounded
 from kinweave.graph import Graph
-from kinweave.operators import analytics, curves, edges, measurements, metrics, quality, trends
+from kinweave.operators import analytics, curves, edges, measurements, metrics, quality, stored, trends
 from kinweave.operators import neighbourhood as near
 from kinweave.operators.paths import path_text, shortest_path
 from kinweave.session import scratch_path
@@ -65,6 +65,18 @@ def on_skewed_graph(op: Callable[[Graph], DataFrame]) -> Query:
     return lambda spark, sf_dir: op(supplied.load_skewed_graph(spark, sf_dir))
 
 
+def on_stored_lists(op: Callable[[stored.StoredLists, DataFrame], DataFrame]) -> Query:
+    """A question to the graph's neighbour lists, stored in buckets first."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = supplied.load_graph(spark, sf_dir)
+        folder = scratch_path(spark, "lists")
+        table = "adjacency_" + folder.rpartition("-")[2]
+        return op(stored.store_lists(graph, table, folder), graph.seeds)
+
+    return query
+
+
 def top_for_one(graph: Graph) -> DataFrame:
     ranked = near.friend_recommendations(graph, busiest_user(graph))
     return ranked.orderBy("rank").select("cand", "common_friends")
@@ -294,6 +306,8 @@ def analytic(op: Callable[..., DataFrame], direction: str, *doubles: str) -> Que
 
 QUERIES: dict[str, Query] = {
     # neighbourhoods and paths
+    "simple_friends_stored": on_stored_lists(stored.simple_friends),
+    "friends_of_friends_stored": on_stored_lists(stored.friends_of_friends),
     "simple_friends": on_graph(lambda g: near.simple_friends(g, g.seeds)),
     "friends_of_friends": on_graph(lambda g: near.friends_of_friends(g, g.seeds)),
     "mutual_friends": mutual_friends,

@@ -348,6 +348,8 @@ def _growth(edges: str, since: str) -> str:
 
 BODIES = {
     "simple_friends": "SELECT src AS seed, dst AS friend_id FROM adj",
+    "simple_friends_stored": "SELECT src AS seed, dst AS friend_id FROM adj",
+    "friends_of_friends_stored": "SELECT seed, cand AS fof FROM common",
     "friends_of_friends": "SELECT seed, cand AS fof FROM common",
     "mutual_friends": """
         SELECT user_a, user_b, x.dst AS mutual FROM pairs JOIN adj x ON x.src = user_a
