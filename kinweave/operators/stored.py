@@ -1,7 +1,7 @@
 """A stored adjacency: neighbour lists in bucketed tables, so that no call shuffles them again.
 
-``store_lists`` writes two tables of the session's catalog: ``<table>_counts`` (src, lists),
-bucketed by src, and ``<table>_lists`` (src, list, dsts), bucketed by (src, list). A hub's
+``store_lists`` writes two tables of the session's catalog: ``<table>_counts`` (src, lists,
+degree), bucketed by src, and ``<table>_lists`` (src, list, high, dsts), bucketed by (src, list). A hub's
 lists lie in as many buckets as any other lists, so no bucket grows with a degree. A
 question shuffles only its own seeds to the buckets, and reads the lists in place.
 """
@@ -19,7 +19,7 @@ from kinweave.operators import neighbourhood as near
 
 @dataclass(frozen=True)
 class StoredLists:
-    """``counts`` (src, lists) and ``lists`` (src, list, dsts), both read from bucketed tables."""
+    """``counts`` (src, lists, degree) and ``lists`` (src, list, high, dsts), both read from bucketed tables."""
 
     counts: DataFrame
     lists: DataFrame
@@ -68,6 +68,4 @@ def simple_friends(stored: StoredLists, seeds: DataFrame) -> DataFrame:
 def friends_of_friends(stored: StoredLists, seeds: DataFrame) -> DataFrame:
     """(seed, fof): users two steps away that are neither the seed nor a direct friend."""
     friends = _friends(stored, seeds)
-    asked = friends.select("seed", F.col("friend_id").alias("src"))
-    counted = near.counted_walks(friends, near.meet(asked, stored.counts, stored.lists))
-    return counted.where(F.col("direct") == 0).select("seed", F.col("cand").alias("fof"))
+    return near.unmet(near.gathered_walks(friends, stored.counts, stored.lists))
