@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import stored
+from kinweave.llm.common import meet, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = meet(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = stored(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        small = meet(large, least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         pairs = stored(small.union(least).distinct(), "links")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())

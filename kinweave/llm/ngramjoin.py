@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructType
 
-from kinweave.llm.common import record_batch, ship_code, stored, tidy
+from kinweave.llm.common import meet, record_batch, ship_code, stored, tidy
 from kinweave.llm.similarity import Signatures, filter_bits, link_sets, may_hold, set_table, sets
 from kinweave.llm.words import mix, slices
 
@@ -109,9 +109,9 @@ def groups(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -
 def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`."""
     table, found = groups(docs, size, percent)
-    rooted = table.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = meet(table, found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select(
+    return meet(rooted, least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
@@ -125,16 +125,16 @@ def one_of_each_group(docs: DataFrame, size: int, percent: int) -> DataFrame:
     keeper. All columns stay; `jj_key` and `jj_maybe` must not be among them.
     """
     table, found = groups(docs, size, percent)
-    rooted = table.filter("key is not null").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = meet(table.filter("key is not null"), found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     kept = rooted.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    grouped = rooted.select("key", "root").distinct().join(kept, "root").select("key", "root", "kept")
+    grouped = meet(rooted.select("key", "root").distinct(), kept, "root").select("key", "root", "kept")
     grouped = stored(grouped, "groups")
     filled = docs.sparkSession.sparkContext.broadcast(filter_bits(F.col("key"), grouped))
     keyed = _with_keys(docs, size, filled)
     alone = keyed.filter("not jj_maybe").select(*docs.columns)
     met = keyed.filter("jj_maybe").select(F.struct(*docs.columns).alias("row"), F.col("jj_key").alias("key"))
-    met = met.join(grouped, "key", "left")
+    met = meet(met, grouped, "key", "left")
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
     free = met.filter("root is null").select("row.*")
     first = met.filter("root is not null").filter(same).groupBy("root").agg(F.min_by("row", F.struct(F.col("row.text"))).alias("row"))

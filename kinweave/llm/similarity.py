@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, id_and_text, ship_code, stored, tidy
+from kinweave.llm.common import arrow_map, id_and_text, meet, ship_code, stored, tidy
 from kinweave.llm.components import components
 from kinweave.llm.words import LOWER, NOT_SPACE, Texts, distinct, mix, shingles, slices
 
@@ -121,8 +121,8 @@ def possible_pairs(docs: DataFrame, size: int, pairs: DataFrame, percent: int) -
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     sketches = filtered_sets(docs, size, keys, "sketch", "binary", sketch).groupBy("key").agg(F.min("sketch").alias("sketch"))
     sketches = stored(sketches, "sets-sketches")
-    both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("one")), "a")
-    both = both.join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("two")), "b")
+    both = meet(pairs, sketches.select(F.col("key").alias("a"), F.col("sketch").alias("one")), "a")
+    both = meet(both, sketches.select(F.col("key").alias("b"), F.col("sketch").alias("two")), "b")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         tested = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
@@ -146,12 +146,12 @@ def links_in_clusters(docs: DataFrame, size: int, clusters: DataFrame, percent:
     """
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
+    tiles = meet(clusters, sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
     tiles = tiles.select(
         F.col("node").alias("key"), "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first")
     )
     made = filtered_sets(docs, size, clusters.select(F.col("node").alias("key")), "items", "array<long>", lambda items, _: items.view(np.int64))
-    placed = made.join(tiles, "key").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "key")
+    placed = meet(made, tiles, "key").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, {}
@@ -253,7 +253,7 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, round_: int
     dealt = id_and_text(docs).mapInArrow(tidy(run), "part long, entries binary")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
 
-    def meet(part: int, entries: list[bytes]) -> pa.RecordBatch:
+    def met(part: int, entries: list[bytes]) -> pa.RecordBatch:
         lows, tags = [], []
         for entry in entries:
             n = len(entry) // 9
@@ -273,12 +273,12 @@ def memberships(docs: DataFrame, size: int, signatures: Signatures, round_: int
         for batch in batches:
             for number, entry in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
                 if number != part and entries:
-                    yield meet(part, entries)
+                    yield met(part, entries)
                     entries = []
                 part = number
                 entries.append(entry)
         if entries:
-            yield meet(part, entries)
+            yield met(part, entries)
 
     return dealt.mapInArrow(tidy(reduce), "bucket long, tag long")
 
@@ -306,13 +306,13 @@ def link_sets(docs: DataFrame, table: DataFrame, size: int, percent: int, signat
     keys = stored(table.filter("key is not null").select("key").distinct(), "sets-keys").withColumn("tag", tag_column())
     edges, again = [], None
     for round_ in range(rounds):
-        members = memberships(docs, size, signatures, round_, again).join(keys, "tag").select("bucket", "key")
+        members = meet(memberships(docs, size, signatures, round_, again), keys, "tag").select("bucket", "key")
         members = stored(members, "sets-members")
         buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-        members = stored(members.join(buckets, "bucket"), "sets-buckets")
+        members = stored(meet(members, buckets, "bucket"), "sets-buckets")
         small, large = members.filter(F.col("n") <= SMALL_BUCKET), members.filter(F.col("n") > SMALL_BUCKET)
         left, right = small.select("bucket", F.col("key").alias("a")), small.select("bucket", F.col("key").alias("b"))
-        pairs = stored(left.join(right, "bucket").filter("a < b").select("a", "b").distinct(), "sets-pairs")
+        pairs = stored(meet(left, right, "bucket").filter("a < b").select("a", "b").distinct(), "sets-pairs")
         edges.append(possible_pairs(docs, size, pairs, percent))
         if round_ + 1 == rounds:
             edges.append(large.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())

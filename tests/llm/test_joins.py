@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from kinweave.llm import minhash, ngramjoin, similarity
+from kinweave.llm import common, minhash, ngramjoin, similarity
+from kinweave.llm import components as stars
 from kinweave.llm.catalog import QUERIES
 from kinweave.llm.components import components
 from tests.llm import brute, fixtures
@@ -56,6 +57,22 @@ def test_large_group_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == brute.components(list(range(150)), brute.linked(texts, 1, 90))
 
 
+def test_no_table_of_the_corpus_is_gathered_in_the_driver(spark, monkeypatch):
+    plans = []
+
+    def stored(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, label)
+
+    for module in (ngramjoin, similarity, stars):
+        monkeypatch.setattr(module, "stored", stored)
+    docs = fixtures.table(spark, texts_with_copies(3))
+    frames = [ngramjoin.jaccard_join(docs), ngramjoin.one_of_each_group(docs, 5, 80)]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in frames]
+    assert any("SortMergeJoin" in plan for plan in plans)
+    assert not [plan for plan in plans if "Broadcast" in plan]
+
+
 def test_odd_rows(spark):
     docs = fixtures.odd(spark)
     source = [(r["doc_id"], r["text"]) for r in docs.collect()]
